@@ -30,7 +30,7 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _from_lines(lines: DataFrame, symbol) -> DataFrame:
     price = F.col("l_extendedprice") / F.col("l_quantity")
-    seq = F.struct("l_orderkey", "l_linenumber")
+    seq = F.struct("l_orderkey", "l_linenumber", price)  # (order, line) repeats, so price breaks ties
     return (
         lines.select(
             symbol.alias("symbol"),

@@ -12,12 +12,11 @@ import re
 from barloom.functions.sheet import Sheet
 
 FLAG_DAYS = """
-SELECT l_returnflag || l_linestatus AS symbol, CAST(l_shipdate AS DATE) AS day,
-  arg_min(l_extendedprice / l_quantity, l_orderkey * 100 + l_linenumber) AS o,
-  max(l_extendedprice / l_quantity) AS h, min(l_extendedprice / l_quantity) AS l,
-  arg_max(l_extendedprice / l_quantity, l_orderkey * 100 + l_linenumber) AS c,
-  sum(CAST(l_quantity AS DOUBLE)) AS v
-FROM lineitem GROUP BY ALL"""
+SELECT symbol, day, first(p ORDER BY l_orderkey, l_linenumber, p) AS o, max(p) AS h, min(p) AS l,
+  last(p ORDER BY l_orderkey, l_linenumber, p) AS c, sum(q) AS v
+FROM (SELECT l_returnflag || l_linestatus AS symbol, CAST(l_shipdate AS DATE) AS day,
+  l_extendedprice / l_quantity AS p, CAST(l_quantity AS DOUBLE) AS q, l_orderkey, l_linenumber FROM lineitem)
+GROUP BY symbol, day"""
 
 SUPPLIER_DAYS = FLAG_DAYS.replace(
     "l_returnflag || l_linestatus", "CAST(l_suppkey AS VARCHAR)"
