@@ -130,12 +130,16 @@ def group_sheet(group: str):
     return s, out
 
 
+# Prices are cents over small integers, so many sit exactly on a rounding tie;
+# the offset moves them off it in both engines.
+
+
 def _sql(group: str) -> str | None:
     s, out = group_sheet(group)
     if not sheet_sql.expressible(s):
         return None
     head, last = sheet_sql.with_clause(s)
-    cols = ", ".join(f"round(CAST({x} AS DOUBLE), 5) AS {name}" for name, x in out)
+    cols = ", ".join(f"round(CAST({x} AS DOUBLE) + 1.3e-7, 5) AS {name}" for name, x in out)
     return f"{head}\nSELECT symbol, day, {cols} FROM {last}"
 
 
@@ -143,7 +147,7 @@ def _register(group: str):
     @query(f"indicators_{group}", _sql(group))
     def run(spark, sf):
         s, out = group_sheet(group)
-        cols = [f"round(CAST({x} AS DOUBLE), 5) AS {name}" for name, x in out]
+        cols = [f"round(CAST({x} AS DOUBLE) + 1.3e-7, 5) AS {name}" for name, x in out]
         return s.run(tables.flag_days(spark, sf)).selectExpr("symbol", "day", *cols)
 
 
