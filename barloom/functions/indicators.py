@@ -47,9 +47,10 @@ def sma(s, x, n):
     if x not in PRICES or n <= LONG_FRAME:
         return over(s, "avg", x, n)
     total = s.put(f"sum({x}) {so_far()}")
+    # Rounded so that a price equal to its mean stays equal in running sums.
     return s.put(
-        f"CASE WHEN {s.t} >= {n} THEN ({total} - {back(s, total, n)}) / {n}"
-        f" WHEN {s.t} = {n - 1} THEN {total} / {n} END"
+        f"round(CASE WHEN {s.t} >= {n} THEN ({total} - {back(s, total, n)}) / {n}"
+        f" WHEN {s.t} = {n - 1} THEN {total} / {n} END, 9)"
     )
 
 

@@ -34,15 +34,17 @@ def _smooth(k, x, n, alpha, depth=1):
     state, lets, value = {}, [], x
     for d in range(depth):
         p = f"{k}_{d}"
-        state |= {f"{p}_n": "0", f"{p}_s": "CAST(0 AS DOUBLE)", f"{p}_v": "CAST(NULL AS DOUBLE)"}
+        none = "CAST(NULL AS DOUBLE)"
+        state |= {f"{p}_n": "0", f"{p}_s": "CAST(0 AS DOUBLE)", f"{p}_v": none, f"{p}_y": none}
         lets += [
             (f"{p}_n", f"r_{p}_n + CASE WHEN {value} IS NOT NULL THEN 1 ELSE 0 END"),
             (f"{p}_s", f"CASE WHEN n_{p}_n <= {n} THEN r_{p}_s + coalesce({value}, 0) ELSE r_{p}_s END"),
-            (f"{p}_v", f"CASE WHEN {value} IS NULL OR n_{p}_n < {n} THEN NULL WHEN n_{p}_n = {n}"
+            (f"{p}_v", f"CASE WHEN {value} IS NULL THEN r_{p}_v WHEN n_{p}_n < {n} THEN NULL WHEN n_{p}_n = {n}"
                        f" THEN n_{p}_s / {n} ELSE r_{p}_v + {alpha!r} * ({value} - r_{p}_v) END"),
+            (f"{p}_y", f"CASE WHEN {value} IS NOT NULL THEN n_{p}_v END"),
         ]
-        value = f"n_{p}_v"
-    return state, lets, {"v": f"{k}_{depth - 1}_v"}
+        value = f"n_{p}_y"
+    return state, lets, {"v": f"{k}_{depth - 1}_y"}
 
 
 def _adaptive(k, x, step):

@@ -66,14 +66,14 @@ def _value_sql():
     s = Sheet()
     v = _values(s)
     head, last = sheet_sql.with_clause(s, base_sql(900))
-    return f"{head} SELECT symbol, day, " + ", ".join(f"round(CAST({x} AS DOUBLE), 5) AS {k}" for k, x in v.items()) + f" FROM {last}"
+    return f"{head} SELECT symbol, day, " + ", ".join(f"round(CAST({x} AS DOUBLE) + 1.3e-7, 5) AS {k}" for k, x in v.items()) + f" FROM {last}"
 
 
 @query("atoms_values", _value_sql())
 def _run_values(spark, sf):
     s = Sheet()
     v = _values(s)
-    return s.run(day_bars(spark, sf, "15m")).selectExpr("symbol", "day", *[f"round(CAST({x} AS DOUBLE), 5) AS {k}" for k, x in v.items()])
+    return s.run(day_bars(spark, sf, "15m")).selectExpr("symbol", "day", *[f"round(CAST({x} AS DOUBLE) + 1.3e-7, 5) AS {k}" for k, x in v.items()])
 
 
 _NAMED = list(A.NAMED)
