@@ -8,6 +8,7 @@ from barloom.functions import atoms as A
 from barloom.operators import lots as L
 from barloom.operators import windows as WN
 from barloom.sources import tables
+from oracle import sheet_sql
 from queries.atoms import day_bars
 from queries.registry import TICKS, bars_cte, query
 
@@ -47,26 +48,25 @@ def _daily(spark, sf):
     return L.book_daily_returns(res).selectExpr("config", "w", "k", "round(ret, 8) AS ret")
 
 
-_VEC = f"""WITH {bars_cte(3600)}, a AS (SELECT symbol, ts AS day, c, CASE WHEN count(*) OVER w = 20 THEN c > avg(c) OVER w ELSE FALSE END AS sig FROM bars
-  WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING)),
+_VEC = f"""WITH bars AS ({sheet_sql.FLAG_DAYS}), a AS (SELECT symbol, day, c, CASE WHEN count(*) OVER w = 20 THEN c > avg(c) OVER w ELSE FALSE END AS sig FROM bars
+  WINDOW w AS (PARTITION BY symbol ORDER BY day ROWS 19 PRECEDING)),
 p AS (SELECT *, c / lag(c) OVER w - 1 AS ret, coalesce(CASE WHEN lag(sig) OVER w THEN 1.0 ELSE 0.0 END, 0.0) AS pos FROM a WINDOW w AS (PARTITION BY symbol ORDER BY day)),
-n AS (SELECT symbol, day, CAST(pos * coalesce(ret, 0) AS DOUBLE) - CASE WHEN abs(pos - lag(pos) OVER (PARTITION BY symbol ORDER BY day)) > 0 THEN CAST(0.001 AS DOUBLE) + CAST(0.0002 AS DOUBLE) ELSE 0 END AS net FROM p)"""
+n AS (SELECT symbol, day, CAST(pos AS DOUBLE) * coalesce(ret, 0) - CASE WHEN abs(pos - lag(pos) OVER (PARTITION BY symbol ORDER BY day)) > 0 THEN CAST(0.001 AS DOUBLE) + CAST(0.0002 AS DOUBLE) ELSE 0 END AS net FROM p)"""
 
 
 @query(
     "lots_vectorized_metrics",
-    f"""{_VEC}, d AS (SELECT symbol, CAST(day AS DATE) AS d, sum(net) AS r, sum(ln(1 + net)) AS lr FROM n GROUP BY 1, 2),
-e AS (SELECT *, exp(sum(ln(1 + r)) OVER (PARTITION BY symbol ORDER BY d)) AS e FROM d),
-f AS (SELECT *, greatest(max(e) OVER (PARTITION BY symbol ORDER BY d), 1) AS pk FROM e)
+    f"""{_VEC}, e AS (SELECT *, net AS r, product(1 + net) OVER (PARTITION BY symbol ORDER BY day ROWS UNBOUNDED PRECEDING) AS e FROM n),
+f AS (SELECT *, greatest(max(e) OVER (PARTITION BY symbol ORDER BY day ROWS UNBOUNDED PRECEDING), 1) AS pk FROM e)
 SELECT symbol, round(avg(r) / stddev_samp(r) * sqrt(365), 5) AS sharpe, round(avg(r) / sqrt(avg(least(r, 0) * least(r, 0))) * sqrt(365), 5) AS sortino,
   round(min(e / pk - 1), 5) AS max_dd, round(count(*) FILTER (r > 0) / count(*) FILTER (r <> 0), 5) AS win_rate,
-  round(ln(exp(sum(lr))), 5) AS log_return, count(*) AS days FROM f GROUP BY 1 HAVING count(*) >= 10""",
+  round(product(1 + r) - 1, 5) AS total_return, count(*) AS days FROM f GROUP BY 1 HAVING count(*) >= 10""",
 )
 def _vector(spark, sf):
-    bars = A.flags(day_bars(spark, sf, "1h"), ["sma_abv_20"])
+    bars = A.flags(tables.flag_days(spark, sf), ["sma_abv_20"])
     out = L.vectorized_metrics(L.position_returns(bars, "f0"))
     return out.selectExpr("symbol", "round(sharpe, 5) AS sharpe", "round(sortino, 5) AS sortino", "round(max_dd, 5) AS max_dd",
-                          "round(win_rate, 5) AS win_rate", "round(ln(1 + total_return), 5) AS log_return", "days")
+                          "round(win_rate, 5) AS win_rate", "round(total_return, 5) AS total_return", "days")
 
 
 @query(
