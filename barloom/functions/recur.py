@@ -220,6 +220,20 @@ def greedy_hold(trigger, hold: int):
     return {"v": out}
 
 
+def armed_entry(on, room, hold: int):
+    """Entry rows of edge-triggered trades of ``hold`` rows; no room left ends the walk."""
+    out, armed, at, free = [0.0] * len(on), True, 0, len(on)
+    while at < free:
+        if armed and on[at] == 1.0:
+            if room[at] != 1.0:
+                break
+            out[at], armed, at = 1.0, False, at + hold
+            continue
+        armed = armed or on[at] != 1.0
+        at += 1
+    return {"v": out}
+
+
 def countdown(side, hit, l, c, setup: int, need: int, guard: int):
     """Completion rows of a setup followed by ``need`` counted rows.
 
@@ -396,7 +410,7 @@ STEPS = {
     f.__name__: f
     for f in (
         smooth, adaptive, two_pole, laguerre, mcginley, mesa, supertrend, parabolic, trail,
-        ratchet, greedy_hold, countdown, box, line_break, kagi, renko, columns_chart,
+        ratchet, greedy_hold, armed_entry, countdown, box, line_break, kagi, renko, columns_chart,
         failure_swing, bulge,
     )
 }

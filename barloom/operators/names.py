@@ -36,7 +36,7 @@ PATTERNS = [
 
 def atoms(name: Column | str) -> Column:
     """Trimmed non-empty atoms of a stack."""
-    return F.filter(F.transform(F.split(name, "&"), F.trim), lambda a: a != "")
+    return F.filter(F.transform(F.split(name, "&"), lambda a: F.trim(a)), lambda a: a != "")
 
 
 def _num(a: Column, pattern: str, group: int | None) -> Column:

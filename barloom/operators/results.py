@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators import names as N
 from barloom.session import broadcast_if_small
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Fixed values.
 BASE_GATES = ("trades", "profit", "sharpe", "baseline", "windows")
 ROBUST_GATES = ("holdout", "dsr", "pbo", "perturb", "cost")
@@ -209,8 +213,7 @@ def parent_pairs(rows: DataFrame) -> DataFrame:
     return less.join(rows.select(F.col("name").alias("parent")), "parent", "left_semi")
 
 
-@F.pandas_udf("double")
-def sign_test_p(positive: pd.Series, negative: pd.Series) -> pd.Series:
+def _sign_test(positive: pd.Series, negative: pd.Series) -> pd.Series:
     """Two-sided exact sign test on counts; runs on aggregated rows."""
     def one(pos, neg):
         n, k = int(pos + neg), int(min(pos, neg))
@@ -240,8 +243,7 @@ def t_quantile_975(df: float) -> float:
     return (lo + hi) / 2
 
 
-@F.pandas_udf("double")
-def t_half_width(n: pd.Series, sd: pd.Series) -> pd.Series:
+def _t_half_width(n: pd.Series, sd: pd.Series) -> pd.Series:
     """Half width of the 95% t interval of a mean."""
     known: dict = {}
 
@@ -260,10 +262,11 @@ def paired_effects(rows: DataFrame) -> DataFrame:
         F.count("delta").alias("n"), F.avg("delta").alias("mean_delta"), F.stddev_samp("delta").alias("sd"),
         F.count_if(F.col("delta") > 0).alias("positive"), F.count_if(F.col("delta") < 0).alias("negative"),
     )
-    half = t_half_width(F.col("n"), F.col("sd"))
+    half = F.pandas_udf(_t_half_width, "double")(F.col("n"), F.col("sd"))
+    sign_test = F.pandas_udf(_sign_test, "double")
     return agg.select(
         "atom", "n", "mean_delta", (F.col("mean_delta") - half).alias("ci_low"), (F.col("mean_delta") + half).alias("ci_high"),
-        "positive", "negative", sign_test_p(F.col("positive"), F.col("negative")).alias("p_value"),
+        "positive", "negative", sign_test(F.col("positive"), F.col("negative")).alias("p_value"),
     )
 
 

@@ -23,7 +23,9 @@ POOL = (
 
 def stack_name(key, depth):
     pool = F.array(*[F.lit(a) for a in POOL])
-    picks = [F.element_at(pool, (key * m + s) % len(POOL) + 1) for m, s in ((1, 0), (7, 5), (11, 17))]
+    n = len(POOL)
+    spots = [key % n, (F.floor(key / n) * 7 + 5) % n, (F.floor(key / 7) * 11 + 17) % n]
+    picks = [F.element_at(pool, k.cast("int") + 1) for k in spots]
     chosen = F.slice(F.array(*picks), F.lit(1), depth)
     return F.array_join(F.array_sort(F.array_distinct(chosen)), "&")
 
@@ -36,8 +38,8 @@ def eval_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         k.alias("seq"),
         F.col("o_orderdate").alias("tested_at"),
         cust.alias("account"),
-        F.round((F.col("o_totalprice") - 220000) / 100, 2).alias("test_pnl"),
-        F.round(F.col("o_totalprice") / 200 - 500, 2).alias("train_pnl"),
+        (F.floor(F.col("o_totalprice") / 100) - 2200).cast("double").alias("test_pnl"),
+        (F.floor(F.col("o_totalprice") / 200) - 500).cast("double").alias("train_pnl"),
         ((k * 37 % 200) / 100.0 - 0.7).cast("double").alias("sharpe"),
         (k % 90).alias("trades"),
         ((k * 53 % 300) / 100.0 - 1.0).cast("double").alias("daily_sharpe"),

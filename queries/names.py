@@ -13,10 +13,13 @@ from oracle import sheet_sql
 from queries.registry import query
 
 _POOL = "[" + ", ".join(f"'{a}'" for a in POOL) + "]"
-_PICKS = ", ".join(f"{_POOL}[(o_custkey * {m} + {s}) % {len(POOL)} + 1]" for m, s in ((1, 0), (7, 5), (11, 17)))
+_N = len(POOL)
+_PICKS = ", ".join(
+    f"{_POOL}[CAST({k} AS BIGINT) + 1]" for k in (f"o_custkey % {_N}", f"(o_custkey // {_N} * 7 + 5) % {_N}", f"(o_custkey // 7 * 11 + 17) % {_N}")
+)
 LOG = f"""log0 AS (SELECT array_to_string(list_sort(list_distinct(([{_PICKS}])[1:o_orderkey % 3 + 1])), '&') AS name,
-  o_orderkey AS seq, o_orderdate AS tested_at, o_custkey AS account, round((o_totalprice - 220000) / 100, 2) AS test_pnl,
-  round(o_totalprice / 200 - 500, 2) AS train_pnl, CAST((o_orderkey * 37 % 200) / 100.0 - 0.7 AS DOUBLE) AS sharpe, o_orderkey % 90 AS trades,
+  o_orderkey AS seq, o_orderdate AS tested_at, o_custkey AS account, CAST(floor(o_totalprice / 100) - 2200 AS DOUBLE) AS test_pnl,
+  CAST(floor(o_totalprice / 200) - 500 AS DOUBLE) AS train_pnl, CAST((o_orderkey * 37 % 200) / 100.0 - 0.7 AS DOUBLE) AS sharpe, o_orderkey % 90 AS trades,
   CAST((o_orderkey * 53 % 300) / 100.0 - 1.0 AS DOUBLE) AS daily_sharpe, CAST((o_custkey % 100) * 30 - 1000 AS DOUBLE) AS bh_oos_pnl,
   CASE WHEN o_custkey % 11 <> 0 THEN CAST((o_custkey % 70) * 20 - 500 AS DOUBLE) END AS sma_stack_oos_pnl,
   CASE WHEN o_orderkey % 13 = 0 THEN 17 ELSE 18 END AS n_windows, o_orderkey % 29 = 0 AS ops_park,
