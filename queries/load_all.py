@@ -1,3 +1,3 @@
 """Importing this registers every query."""
 
-from queries import atoms, bars, books, indicators, lots, names, rules, stats  # noqa: F401
+from queries import atoms, bars, books, indicators, lots, names, portfolio, rules, stats, streams  # noqa: F401
