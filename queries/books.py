@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from barloom.operators import bars as B
 from barloom.operators import books as K
-from barloom.operators import windows as WN
 from barloom.plans import library
+from barloom.plans.evaluate import day_blocks
 from barloom.sources import tables
 from oracle import rules_sql, sheet_sql
-from queries.registry import TICKS, bars_cte, query
+from queries.registry import bars_cte, query
 
 METRICS = [
     "log_growth", "daily_sharpe", "max_drawdown", "exposure", "days", "trades",
@@ -166,20 +166,6 @@ def _segment_pnl(spark, sf):
     return out.selectExpr("symbol", "config", "block", "round(ln(1 + block_pnl / 10000), 6) AS block_log_return", "block_trades")
 
 
-def day_blocks(sig):
-    spans = sig.where("scored").groupBy("symbol").agg(
-        F.min(F.expr("unix_date(day)")).cast("long").alias("a"), (F.max(F.expr("unix_date(day)")) + 1).cast("long").alias("z")
-    )
-    spans = spans.selectExpr("symbol", "a * 86400L AS s0", "z * 86400L AS s1")
-    tiled = WN.tile_blocks(spans, "s0", "s1")
-    # Days are whole, so edges floor to days from the span start.
-    return tiled.selectExpr(
-        "symbol", "block",
-        "date_add(date_from_unix_date(CAST(s0 div 86400 AS INT)), CAST((block_start - s0) div 86400 AS INT)) AS block_day",
-        "date_add(date_from_unix_date(CAST(s0 div 86400 AS INT)), CAST((block_end - s0) div 86400 AS INT)) AS block_end_day",
-    )
-
-
 @query(
     "books_buy_and_hold_windows",
     f"""WITH bars AS ({sheet_sql.FLAG_DAYS}), e AS (SELECT symbol, year(day) AS w, arg_min(c, day) AS p0, arg_max(c, day) AS p1, count(*) AS n FROM bars GROUP BY 1, 2),
