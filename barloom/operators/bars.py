@@ -20,9 +20,19 @@ def bucket(ts: Column | str, seconds: int) -> Column:
     return F.window(ts, f"{seconds} seconds")["start"]
 
 
+def tick_order(ts: str = "ts", tie: str = "event_id") -> Column:
+    """Order of ticks as one long: microseconds, then the low bits of the id.
+
+    A struct order would push the aggregate from hash to sort; this key keeps
+    ``min_by`` and ``max_by`` in the hash aggregate with map-side combine.
+    """
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    return F.shiftleft(micros, 10).bitwiseOR(F.col(tie).bitwiseAND(F.lit(1023)))
+
+
 def bars_from_ticks(ticks: DataFrame, tf: str) -> DataFrame:
     """OHLCV bars of ticks, labelled by their open; empty buckets are absent."""
-    seq = F.struct("ts", "event_id")
+    seq = tick_order()
     return ticks.groupBy("symbol", bucket("ts", SECONDS[tf]).alias("ts")).agg(
         F.min_by("price", seq).alias("o"),
         F.max("price").alias("h"),

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.session import broadcast_if_small
+from barloom.session import broadcast_if_small, cut_lineage
 
 # Fixed values.
 START_CASH = 10_000.0
@@ -161,8 +161,13 @@ def book_metrics(curve: DataFrame, paths: DataFrame, start_cash: float = START_C
 def run_books(
     signals: DataFrame, fee: float = TAKER_FEE, slip: float = SLIPPAGE, stop: float = 0.20
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(trades with cash, equity curve, metrics)."""
-    paths = cash_path(trades(signals, fee, slip, stop))
+    """(trades with cash, equity curve, metrics).
+
+    Signals feed the trades and the curve, and trades feed the curve and the
+    metrics, so each is written once instead of being computed again.
+    """
+    signals = cut_lineage(signals.select(*KEYS, "day", "o", "h", "l", "c", "signal", "scored"))
+    paths = cut_lineage(cash_path(trades(signals, fee, slip, stop)))
     curve = equity_curve(signals, paths, fee)
     return paths, curve, book_metrics(curve, paths)
 

@@ -406,15 +406,23 @@ def neighbour_names(names: DataFrame, caps: DataFrame) -> DataFrame:
     return fine.join(blocked, "name", "left_anti").select(F.col("parent").alias("name"), F.col("name").alias("neighbour"))
 
 
-def atom_stacks(pools: list[DataFrame]) -> DataFrame:
-    """Every stack that takes one atom from each pool; pools are short lists of ``atom``."""
-    out = None
-    for k, pool in enumerate(pools):
-        one = pool.select(F.array(F.col("atom")).alias(f"a{k}"))
-        # A recipe pairs short, documented atom lists: the product is the feature itself.
-        out = one if out is None else out.join(F.broadcast(one), F.lit(True))
-    cols = [f"a{k}" for k in range(len(pools))]
-    return out.select(F.array_join(F.array_sort(F.array_distinct(F.concat(*cols))), "&").alias("name")).distinct()
+POOL_LIMIT = 1_000
+
+
+def atom_stacks(rows: DataFrame, tests: list[str]) -> DataFrame:
+    """Every stack of one atom per test, from the distinct atoms that pass each test.
+
+    The combinations are the feature; they come from short atom lists, so the
+    lists are one row of arrays that is exploded, and a list that is not short
+    fails the job.
+    """
+    pools = rows.agg(*[F.array_sort(F.collect_set(F.when(F.expr(t), F.col("atom")))).alias(f"p{k}") for k, t in enumerate(tests)])
+    out = pools
+    for k in range(len(tests)):
+        ok = F.assert_true(F.size(f"p{k}") <= POOL_LIMIT, F.lit("atom list is not short"))
+        out = out.where(ok.isNull()).withColumn(f"a{k}", F.explode(f"p{k}"))
+    cols = F.array(*[F.col(f"a{k}") for k in range(len(tests))])
+    return out.select(F.array_join(F.array_sort(F.array_distinct(cols)), "&").alias("name")).distinct()
 
 
 def untested(universe: DataFrame, blocked: DataFrame, caps: DataFrame) -> DataFrame:

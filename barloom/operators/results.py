@@ -180,7 +180,8 @@ def block_report(rows: DataFrame) -> DataFrame:
     )
     ratio = lambda a, b: F.when(b > 0, F.round(a / b, 6))
     c = F.col
-    out = agg.join(F.broadcast(totals), F.lit(True)).select(
+    one = F.lit(1).alias("_one")
+    out = agg.select("*", one).join(totals.select("*", one), "_one").select(
         "level", "block", "n_with", (c("t_n") - c("n_with")).alias("n_without"),
         *[ratio(c(f"w_{f}"), c(f"wc_{f}")).alias(f"mean_{f}_with") for f in fields],
         *[ratio(c(f"t_{f}") - c(f"w_{f}"), c(f"tc_{f}") - c(f"wc_{f}")).alias(f"mean_{f}_without") for f in fields],

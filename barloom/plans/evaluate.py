@@ -14,7 +14,7 @@ from barloom.operators import books as K
 from barloom.operators import gates as G
 from barloom.operators import windows as WN
 from barloom.plans import library
-from barloom.session import cut_lineage
+from barloom.session import broadcast_if_small, cut_lineage
 
 
 def day_blocks(sig: DataFrame) -> DataFrame:
@@ -63,7 +63,7 @@ def evaluate(bars: DataFrame, keys: list[str], score_from: int, holdout_from: in
     bench = _benchmarks(bars, score_from, holdout_from)
     full = (
         rows.join(dsr, K.KEYS, "left").join(F.broadcast(grid.select("config", "rule")), "config").join(pbo, ["symbol", "rule"], "left")
-        .join(F.broadcast(bench), "symbol").withColumn("n_windows", F.lit(blocks_even)).withColumn("expected_windows", F.lit(blocks_even))
+        .join(broadcast_if_small(bench), "symbol").withColumn("n_windows", F.lit(blocks_even)).withColumn("expected_windows", F.lit(blocks_even))
     )
     return G.library_verdict(full)
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.operators.bars import keep_latest, newest_rows
+from barloom.session import broadcast_if_small
 
 BAR = T.StructType([
     T.StructField("symbol", T.StringType()), T.StructField("ts", T.TimestampNTZType()),
@@ -106,7 +107,7 @@ def install(bars: DataFrame, expected: DataFrame, path: str, epoch: int) -> None
 def pinned(bars: DataFrame) -> DataFrame:
     """Bars before the UTC day of each symbol's newest bar."""
     edge = bars.groupBy("symbol").agg(F.to_date(F.max("ts")).cast("timestamp_ntz").alias("_edge"))
-    return bars.join(F.broadcast(edge), "symbol").where("ts < _edge").drop("_edge")
+    return bars.join(broadcast_if_small(edge), "symbol").where("ts < _edge").drop("_edge")
 
 
 def publish_days(days: DataFrame, path: str) -> DataFrame:
@@ -130,7 +131,7 @@ def assert_history(days: DataFrame, start: str, slack_days: int = 2) -> DataFram
     """Days unchanged; a series that starts late fails the job."""
     first = days.groupBy("symbol").agg(F.min("day").alias("_f"))
     ok = F.assert_true(F.col("_f") <= F.date_add(F.lit(start).cast("date"), slack_days), F.lit("series does not reach its listing day"))
-    return days.join(F.broadcast(first), "symbol").where(ok.isNull()).drop("_f")
+    return days.join(broadcast_if_small(first), "symbol").where(ok.isNull()).drop("_f")
 
 
 def load_snapshot(spark: SparkSession, path: str) -> DataFrame:

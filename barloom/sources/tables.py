@@ -30,7 +30,8 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _from_lines(lines: DataFrame, symbol) -> DataFrame:
     price = F.col("l_extendedprice") / F.col("l_quantity")
-    seq = F.struct("l_orderkey", "l_linenumber", price)  # (order, line) repeats, so price breaks ties
+    # One long orders the lines: order, line, then price, as (order, line) repeats.
+    seq = F.shiftleft(F.col("l_orderkey") * 8 + F.col("l_linenumber"), 20) + F.floor(price * 8)
     return (
         lines.select(
             symbol.alias("symbol"),

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from barloom.operators.bars import SECONDS
+from barloom.operators.bars import SECONDS, tick_order
 from barloom.session import broadcast_if_small, shared_dir
 from barloom.sources import store
 
@@ -38,7 +38,7 @@ def tick_stream(events: DataFrame) -> DataFrame:
 
 def bar_stream(ticks: DataFrame, tf: str, delay: str = "10 minutes") -> DataFrame:
     """Bars that close once the watermark passes their end; later ticks are dropped."""
-    seq = F.struct("ts", "event_id")
+    seq = tick_order()
     w = F.window("ts", f"{SECONDS[tf]} seconds")
     return (
         ticks.withWatermark("ts", delay).groupBy("symbol", w.alias("w"))

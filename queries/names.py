@@ -407,8 +407,7 @@ SELECT DISTINCT array_to_string(list_sort([m.atom, a.atom, r.atom]), '&') AS nam
 )
 def _stacks(spark, sf):
     rows = N.atom_rows(eval_log(spark, sf).select("name").distinct())
-    pools = [rows.where(t).select("atom").distinct() for t in ("family = 'mom'", "family LIKE '%_abv'", "family = 'rsi'")]
-    return N.atom_stacks(pools)
+    return N.atom_stacks(rows, ["family = 'mom'", "family LIKE '%_abv'", "family = 'rsi'"])
 
 
 @query(
