@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
+import functools
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
 
+def _in_utc(fn):
+    """Times are UTC throughout, whatever zone the session came with."""
+    @functools.wraps(fn)
+    def run(spark, sf_dir):
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return fn(spark, sf_dir)
+
+    return run
+
+
 def query(name: str, sql: str | None = None):
     def register(fn):
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = fn
+        QUERIES[name] = _in_utc(fn)
         if sql:
             ORACLE[name] = sql
         return fn

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import functions as F
 
 from barloom.functions import stats as S
 from barloom.operators import books as K
 from barloom.operators import gates as G
+from barloom.plans import evaluate as EV
 from barloom.plans import library
 from barloom.plans.rules import RULES
+from barloom.session import cut_lineage
 from oracle.normal import norm_cdf_text, norm_ppf_text
 from queries.books import BOOK_RULES, _BLOCK, _sig_sql, book_signals, book_sql, day_blocks
 from queries.registry import query
@@ -121,26 +124,10 @@ _V_RULES = ["sma200", "golden_cross", "rsi14"]
 HOLDOUT_FROM = 1900  # row index of the sealed span's first day in the test series
 
 
-def _books(spark, sf, lo, hi, fee, slip, keys=_V_RULES):
-    sig = book_signals(spark, sf, keys, True, lo)
-    if hi:
-        sig = sig.where(F.col("t") < hi)
-    return K.run_books(sig, fee, slip)[2]
-
-
 def verdict_rows(spark, sf):
     """Every config's span results side by side, as the verdict reads them."""
-    base = _books(spark, sf, 300, HOLDOUT_FROM, K.TAKER_FEE, K.SLIPPAGE)
-    hold = _books(spark, sf, HOLDOUT_FROM, None, K.TAKER_FEE, K.SLIPPAGE)
-    s_base = _books(spark, sf, 300, HOLDOUT_FROM, *K.STRESS)
-    s_hold = _books(spark, sf, HOLDOUT_FROM, None, *K.STRESS)
-    part = lambda df, *cols: df.select(*K.KEYS, *cols)
-    rows = (
-        part(base, F.col("pnl").alias("oos_pnl"), F.col("trades").alias("oos_trades"), F.col("daily_sharpe").alias("oos_sharpe"))
-        .join(part(hold, F.col("pnl").alias("holdout_pnl"), F.col("trades").alias("holdout_trades"), F.col("daily_sharpe").alias("holdout_sharpe")), K.KEYS)
-        .join(part(s_base, F.col("pnl").alias("stress_oos_pnl")), K.KEYS)
-        .join(part(s_hold, F.col("pnl").alias("stress_holdout_pnl")), K.KEYS)
-    )
+    sig = cut_lineage(book_signals(spark, sf, _V_RULES, True, 300))
+    rows = EV.span_books(sig, 300, HOLDOUT_FROM)
     ok = (F.col("oos_pnl") > 0) & (F.col("holdout_pnl") > 0) & (F.col("stress_oos_pnl") > 0) & (F.col("stress_holdout_pnl") > 0)
     pairs = library.neighbours(library.grid_frame(spark).where(F.col("rule").isin(*_V_RULES)))
     return G.neighbour_fraction(rows.withColumn("passed", ok), pairs)
@@ -156,10 +143,7 @@ def _span_ctes() -> str:
         lim = f"WHERE t < {HOLDOUT_FROM}" if "b" in tag else ""
         names = ["sig", "lagged", "sc", "ed", "isl", "held", "hits", "trades", "paths", "pt", "car", "curve", "rets", "per_day", "per_trade", "metrics"]
         text = f"sig AS (SELECT symbol, config, day, o, h, l, c, signal, {cond} AS scored FROM allsig {lim}), " + book_sql(fee=fee, slip=slip)
-        import re
-
         for n in names:
-            text = re.sub(rf"(?<![\w.'])({n})(?= AS \(|\b(?=[\s,)]))(?=( AS \(| d\b| t\b| p\b|[\s)]| WINDOW| WHERE| GROUP))", rf"{n}", text)
             text = re.sub(rf"\b{n} AS \(", f"{tag}_{n} AS (", text)
             text = re.sub(rf"\b(FROM|JOIN) {n}\b", rf"\1 {tag}_{n}", text)
         out.append(text)
