@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -30,12 +34,19 @@ def local_session(cpus: int | str = 8, app: str = "barloom") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder. Only a session without one gets a temporary folder."""
+    """The cluster's shared folder, spark.checkpoint.dir. Only a single-machine session may do without one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _local_dir()
+
+
+@functools.cache
+def _local_dir() -> str:
     made = tempfile.mkdtemp(prefix="barloom-")
-    spark.conf.set("spark.checkpoint.dir", made)
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
     return made
 
 
