@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barloom.llm import orc_ids, packing
+from barloom.llm import mixing, orc_ids, packing, quality
 from barloom.llm.common import table
 
 QUERIES: dict = {}
@@ -35,3 +35,14 @@ def op5(spark, sf_dir):
     path = orc_ids.new_folder(spark)
     orc_ids.write(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"), end_id=1)
     return orc_ids.digest(spark, path)
+
+
+@query("op8_risk_controlled_quality")
+def op8(spark, sf_dir):
+    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), thin=["doc_id"])
+    return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op10_entropy_balancing")
+def op10(spark, sf_dir):
+    return mixing.taken(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
