@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barloom.llm import mixing, orc_ids, packing, quality
+from barloom.llm import mixing, orc_ids, packing, quality, sharding
 from barloom.llm.common import table
 
 QUERIES: dict = {}
@@ -46,3 +46,8 @@ def op8(spark, sf_dir):
 @query("op10_entropy_balancing")
 def op10(spark, sf_dir):
     return mixing.taken(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+@query("op7_best_fit_sharding")
+def op7(spark, sf_dir):
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
