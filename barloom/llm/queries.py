@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barloom.llm import mixing, orc_ids, packing, quality, sharding
+from barloom.llm import mixing, neardup, orc_ids, packing, quality, sharding
 from barloom.llm.common import table
 
 QUERIES: dict = {}
@@ -51,3 +51,8 @@ def op10(spark, sf_dir):
 @query("op7_best_fit_sharding")
 def op7(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
+
+
+@query("op4_tensored_minhash")
+def op4(spark, sf_dir):
+    return neardup.classes(table(spark, sf_dir, "documents"), k=3, percent=85)
