@@ -179,6 +179,17 @@ def byte_letters() -> dict[int, str]:
 
 
 def encoder(path: str, pad: bytes = b""):
+    """The encoder of ``made_encoder``, kept while the Python worker lives, so its tasks share one memo."""
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("_barloom_worker", types.ModuleType("_barloom_worker")).__dict__
+    if (path, pad) not in kept:
+        kept[path, pad] = made_encoder(path, pad)
+    return kept[path, pad]
+
+
+def made_encoder(path: str, pad: bytes = b""):
     """text -> ids as little-endian uint32 bytes, by the tokenizers library through a memo of space-separated chunks.
 
     Both public vocabularies split a text before a single space between two non-space characters, so a text's ids are
