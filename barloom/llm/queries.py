@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barloom.llm import mixing, neardup, orc_ids, packing, quality, sharding
+from barloom.llm import mixing, neardup, orc_ids, packing, pii, quality, sharding
 from barloom.llm.common import table
 
 QUERIES: dict = {}
@@ -56,3 +56,8 @@ def op7(spark, sf_dir):
 @query("op4_tensored_minhash")
 def op4(spark, sf_dir):
     return neardup.classes(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
+@query("op9_weak_supervision_pii")
+def op9(spark, sf_dir):
+    return pii.digest(table(spark, sf_dir, "documents"))
