@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barloom.llm import mixing, neardup, orc_ids, packing, pii, quality, sharding
+from barloom.llm import mixing, neardup, orc_ids, packing, pii, quality, sharding, vectors
 from barloom.llm.common import table
 
 QUERIES: dict = {}
@@ -61,3 +61,8 @@ def op4(spark, sf_dir):
 @query("op9_weak_supervision_pii")
 def op9(spark, sf_dir):
     return pii.digest(table(spark, sf_dir, "documents"))
+
+
+@query("op6_metric_range_join")
+def op6(spark, sf_dir):
+    return vectors.classes(table(spark, sf_dir, "embeddings"), cosine=0.95)
