@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barloom.llm import mixing, neardup, orc_ids, packing, pii, quality, sharding, vectors
+from barloom.llm import language, mixing, neardup, orc_ids, packing, pii, quality, sharding, vectors
 from barloom.llm.common import table
 
 QUERIES: dict = {}
@@ -66,3 +66,8 @@ def op9(spark, sf_dir):
 @query("op6_metric_range_join")
 def op6(spark, sf_dir):
     return vectors.classes(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
+@query("op2_segmentation_unigrams")
+def op2(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
