@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barloom.llm import language, mixing, neardup, orc_ids, packing, pii, quality, sharding, vectors
+from barloom.llm import language, mixing, neardup, orc_ids, packing, passages, pii, quality, sharding, vectors
 from barloom.llm.common import table
 
 QUERIES: dict = {}
@@ -71,3 +71,8 @@ def op6(spark, sf_dir):
 @query("op2_segmentation_unigrams")
 def op2(spark, sf_dir):
     return language.identify(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+@query("op1_collinear_chaining")
+def op1(spark, sf_dir):
+    return passages.repeated(table(spark, sf_dir, "documents"))
