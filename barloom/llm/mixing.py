@@ -3,8 +3,8 @@
 Rates of documents stay as close as they can, in token-weighted relative entropy, to one copy each while every source's
 tokens meet its target. The dual is convex with one multiplier a constraint; its gradient and curvature are sums over
 documents, so a Newton step is one aggregate and the tilt exp(multiplier) is the rate. Rates are rounded into copies:
-documents of a source in descending size take their second copy (or their only one) at even steps of the accumulated
-fraction, and two rounds of one swapped document a source remove what rounding leaves over.
+a source's largest documents one by one, carrying the remainder, the others in descending size at even steps of the rate
+that meets what is left, and two rounds of one swapped document a source remove what rounding leaves over.
 
 Null texts and texts without words have size 0 and no words to take. Null sources form a source of their own, weighted
 last. Ties and repeated rows are told apart by a rank within equal keys, so reruns agree. An empty table gives an empty
@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from barloom.llm.common import bucket_of, running, written
 from barloom.session import broadcast_if_small
 
+#: Rows of a source that are rounded one after the other, the largest first.
+LARGE = 64
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -71,20 +74,40 @@ def mix(docs: DataFrame, text_col="text", source_col="source", id_col="doc_id",
     rates = written(tilt(thin, source_targets(thin, weights, share, cap)))
     known = thin.drop("row").withColumnRenamed("source", "s")
     rated = known.join(broadcast_if_small(rates, 100_000), known["s"].eqNullSafe(rates["source"])).drop("s")
-    # Even steps in descending size: finer size classes first, the hash order within.
-    whole = F.floor("rate")
-    part = rated.withColumn("whole", whole).withColumn("frac", F.col("rate") - whole)
     octave = F.floor(F.log2(F.col("size") + 1) * 8)
     bucket = ((F.lit(200) - octave) * 64 + bucket_of("tie", n=64)).cast("int")
-    ranked = running(part, ["source"], [F.desc("size"), "tie", "nth"], F.lit(1), "rank", bucket)
-    extra = F.floor((F.col("rank") + 1) * F.col("frac") + 0.5) - F.floor(F.col("rank") * F.col("frac") + 0.5)
-    now = written(ranked.withColumn("copies", (F.col("whole") + extra).cast("long")).drop("whole", "frac", "rank", "rate"))
+    ranked = written(running(rated, ["source"], [F.desc("size"), "tie", "nth"], F.lit(1), "rank", bucket))
+    now = written(_rounded(ranked, cap))
     for _ in range(2):
         now = written(_swap_one(now, cap))
     out = now.select("doc_id", "source", "size", "source_size", "target", "copies", "nth")
     return out.join(thin.select("nth", "row"), "nth").drop("nth") if keep_row else out.drop("nth")
 
 
+def _rounded(ranked: DataFrame, cap: float) -> DataFrame:
+    """Copies of every row: the largest ``LARGE`` of a source one by one, carrying what rounding leaves to the next; the
+    rest at even steps of the rate that meets what is still wanted of them."""
+    large = (
+        ranked.where((F.col("rank") < LARGE) & (F.col("size") > 0)).groupBy("source")
+        .agg(*[F.first(c).alias(c) for c in ("rate", "target", "source_size")], F.array_sort(F.collect_list(F.struct("rank", "nth", "size"))).alias("rows"))
+    )
+    # The copies nearest to the running want; one more where the smaller rows could not make up for what is missing.
+    near = "greatest(0L, cast(floor((a.want + rate * x.size - a.got) / x.size + 0.5D) AS bigint))"
+    short = f"target - a.got - {near} * x.size > {float(cap)}D * (source_size - a.sizes - x.size)"
+    copies = f"least({int(cap)}L, {near} + CASE WHEN {short} THEN 1L ELSE 0L END)"
+    walk = F.expr(f"""aggregate(rows, named_struct('want', 0D, 'got', 0D, 'sizes', 0L, 'picks', cast(array() AS array<struct<nth: bigint, copies: bigint>>)), (a, x) ->
+        named_struct('want', a.want + rate * x.size, 'got', a.got + cast({copies} * x.size AS double), 'sizes', a.sizes + x.size,
+            'picks', concat(a.picks, array(named_struct('nth', x.nth, 'copies', {copies})))))""")
+    walked = written(large.withColumn("w", walk).drop("rows"))
+    rest = F.try_divide(F.col("target") - F.col("w.got"), (F.col("source_size") - F.col("w.sizes")).cast("double"))
+    rates = walked.select(F.col("source").alias("s"), F.greatest(F.lit(0.0), F.least(F.lit(cap), F.coalesce(rest, F.lit(0.0)))).alias("f"))
+    picks = walked.select(F.explode("w.picks").alias("p")).select("p.nth", F.col("p.copies").alias("picked"))
+    joined = ranked.join(broadcast_if_small(rates, 100_000), ranked["source"].eqNullSafe(rates["s"]), "left").join(broadcast_if_small(picks, 100_000), "nth", "left")
+    step = lambda n: F.floor(n * (F.col("f") - F.floor("f")) + 0.5)
+    even = F.floor("f") + step(F.col("rank") + 1) - step(F.col("rank"))
+    return joined.withColumn("copies", F.coalesce("picked", even, F.lit(0)).cast("long")).drop("s", "f", "picked", "rank", "rate")
+
+
 def _swap_one(now: DataFrame, cap: float) -> DataFrame:
     """Add or take away one copy of the document that best removes each source's remainder."""
     off = now.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("off"))
