@@ -1086,7 +1086,7 @@ def corwin_schultz(s, n):
     den = 3 - 2 * math.sqrt(2)
     alpha = s.put(f"(sqrt(2 * {beta}) - sqrt({beta})) / {den!r} - sqrt({gamma} / {den!r})")
     spread = s.put(
-        f"CASE WHEN {alpha} > 0 THEN 2 * (exp({alpha}) - 1) / (1 + exp({alpha})) WHEN {alpha} IS NOT NULL THEN 0D END"
+        f"CASE WHEN least(h, l, {ph}, {pl}) <= 0 THEN 0D WHEN {alpha} > 0 THEN 2 * (exp({alpha}) - 1) / (1 + exp({alpha})) WHEN {alpha} IS NOT NULL THEN 0D END"
     )
     return s.put(f"round({sma(s, spread, n)}, 12)")  # equal spreads must tie with their median
 

@@ -7,10 +7,13 @@ code: Hart's rational form for the CDF and algorithm AS241 for the quantile.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.session import cut_lineage
+
 EULER_MASCHERONI = 0.5772156649015328606
 
 # Fixed values of the two published approximations, highest power first.
@@ -130,45 +133,45 @@ def with_dsr_hurdles(moments: DataFrame, n_trials: Column, confidence: float = 0
     )
 
 
-def sharpe_from_sums(total: Column, squares: Column, count: int) -> Column:
-    """Sharpe from a sum and a sum of squares; +-1e6 where nothing varies."""
-    mean = total / float(count)
+def sharpe_from_sums(total: Column, squares: Column, count: Column) -> Column:
+    """Sharpe from a sum and a sum of squares of ``count`` values; +-1e6 where nothing varies."""
+    mean = total / count
     flat = F.when(mean > 1e-15, 1e6).when(mean < -1e-15, -1e6).otherwise(0.0)
-    if count < 2:
-        return flat
-    sd = F.sqrt(F.greatest(F.lit(0.0), (squares / float(count) - mean * mean) * (count / (count - 1.0))))
-    return F.when(sd <= 1e-12, flat).otherwise(mean / sd)
+    sd = F.sqrt(F.greatest(F.lit(0.0), (squares / count - mean * mean) * F.try_divide(count, count - 1.0)))
+    return F.when((count < 2) | (sd <= 1e-12), flat).otherwise(mean / sd)
 
 
 def cscv_splits(spark, s: int) -> DataFrame:
-    """All in-sample halves of ``s`` blocks as (split, block) rows: bit masks with s/2 bits."""
+    """All in-sample halves of ``s`` blocks as (s, split, block) rows: bit masks with s/2 bits."""
     masks = spark.range(2**s).where(F.bit_count("id") == s // 2).withColumnRenamed("id", "split")
-    return masks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(s - 1)))).where(
-        F.expr("(shiftright(split, block) & 1) = 1")
-    )
+    rows = masks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(s - 1))))
+    return rows.where(F.expr("(shiftright(split, block) & 1) = 1")).select(F.lit(s).alias("s"), "split", "block")
 
 
-def overfitting_probability(perf: DataFrame, keys: list[str], s: int) -> DataFrame:
+def overfitting_probability(perf: DataFrame, keys: list[str]) -> DataFrame:
     """Share of CSCV splits whose in-sample winner ranks in the lower half out of sample.
 
-    ``perf`` is (keys, block, ord, value), one row per block and config;
-    ``s`` is the even number of blocks used, blocks are 0..s-1. Ties go to
-    the lowest ``ord``. Undefined (null) with fewer than two configs.
+    ``perf`` is (keys, block, ord, value), one row per block and config, with blocks 0, 1, ... of each key. All blocks of
+    a key are used, but for the last one where their number is odd. Ties go to the lowest ``ord``. Undefined (null)
+    with fewer than two configs; a key with one block has no split and no row.
     """
-    half = s // 2
-    used = perf.where(F.col("block") < s)
+    perf = cut_lineage(perf)
+    counts = perf.groupBy(*keys).agg((F.max("block") + 1).cast("int").alias("n")).select(*keys, (F.col("n") - F.col("n") % 2).alias("s"))
+    sizes = [r["s"] for r in counts.select("s").distinct().where("s > 0").collect()]  # a row per number of blocks
+    used = perf.join(counts, keys).where(F.col("block") < F.col("s"))
     total = used.groupBy(*keys, "ord").agg(F.sum("value").alias("_t"), F.sum(F.col("value") ** 2).alias("_tt"))
-    splits = cscv_splits(perf.sparkSession, s)
+    splits = reduce(DataFrame.unionByName, [cscv_splits(perf.sparkSession, s) for s in sizes or [2]])
     inside = (
-        used.join(splits, "block")
-        .groupBy(*keys, "split", "ord")
+        used.join(splits, ["s", "block"])
+        .groupBy(*keys, "s", "split", "ord")
         .agg(F.sum("value").alias("_i"), F.sum(F.col("value") ** 2).alias("_ii"))
     )
+    half = (F.col("s") / 2).cast("double")
     scored = inside.join(total, [*keys, "ord"]).select(
         *keys, "split", "ord",
         # Equal configs must tie whatever order their sums were taken in.
         F.round(sharpe_from_sums(F.col("_i"), F.col("_ii"), half), 9).alias("ins"),
-        F.round(sharpe_from_sums(F.col("_t") - F.col("_i"), F.col("_tt") - F.col("_ii"), s - half), 9).alias("oos"),
+        F.round(sharpe_from_sums(F.col("_t") - F.col("_i"), F.col("_tt") - F.col("_ii"), half), 9).alias("oos"),
     )
     w = Window.partitionBy(*keys, "split")
     ranked = scored.select(

@@ -21,13 +21,13 @@ def bucket(ts: Column | str, seconds: int) -> Column:
 
 
 def tick_order(ts: str = "ts", tie: str = "event_id") -> Column:
-    """Order of ticks as one long: microseconds, then the low bits of the id.
+    """Order of ticks as one exact number: microseconds, then the whole signed 64-bit id.
 
-    A struct order would push the aggregate from hash to sort; this key keeps
-    ``min_by`` and ``max_by`` in the hash aggregate with map-side combine.
+    A struct order would push the aggregate from hash to sort; a decimal has a fixed width, so ``min_by`` and
+    ``max_by`` stay in the hash aggregate with map-side combine.
     """
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    return F.shiftleft(micros, 10).bitwiseOR(F.col(tie).bitwiseAND(F.lit(1023)))
+    micros = F.unix_micros(F.col(ts).cast("timestamp")).cast("decimal(18,0)")
+    return (micros * F.lit("20000000000000000000").cast("decimal(20,0)") + F.col(tie).cast("decimal(19,0)")).cast("decimal(38,0)")
 
 
 def bars_from_ticks(ticks: DataFrame, tf: str) -> DataFrame:

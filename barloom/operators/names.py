@@ -302,7 +302,7 @@ def family_pairs(names: DataFrame, tol: float = FAMILY_TOL) -> DataFrame:
     )
 
 
-def plan_families(ranked: DataFrame, max_rounds: int = 100) -> DataFrame:
+def plan_families(ranked: DataFrame) -> DataFrame:
     """(name, winner): the best of each family, and the winner every other name points to.
 
     ``ranked`` has name and a unique rank (1 is best). Greedy in rank order:
@@ -320,7 +320,7 @@ def plan_families(ranked: DataFrame, max_rounds: int = 100) -> DataFrame:
         .select("a", "b", "rank_b")
     )
     state = cut_lineage(r.select("name", F.lit(None).cast("string").alias("winner")))
-    for _ in range(max_rounds):
+    while True:  # the best open name settles in every round
         known = state.select(F.col("name").alias("b"), F.col("winner").alias("b_winner"))
         open_ = state.where("winner IS NULL").select(F.col("name").alias("a"))
         if open_.isEmpty():
@@ -338,7 +338,6 @@ def plan_families(ranked: DataFrame, max_rounds: int = 100) -> DataFrame:
             .alias("winner"),
         )
         state = cut_lineage(state.where("winner IS NOT NULL").unionByName(settled))
-    raise RuntimeError("family rounds did not settle")
 
 
 # --- neighbours -----------------------------------------------------------------
@@ -406,21 +405,16 @@ def neighbour_names(names: DataFrame, caps: DataFrame) -> DataFrame:
     return fine.join(blocked, "name", "left_anti").select(F.col("parent").alias("name"), F.col("name").alias("neighbour"))
 
 
-POOL_LIMIT = 1_000
-
-
 def atom_stacks(rows: DataFrame, tests: list[str]) -> DataFrame:
     """Every stack of one atom per test, from the distinct atoms that pass each test.
 
-    The combinations are the feature; they come from short atom lists, so the
-    lists are one row of arrays that is exploded, and a list that is not short
-    fails the job.
+    The combinations are the feature, so the rows grow as the product of the
+    atom lists; the lists themselves are one row of arrays.
     """
     pools = rows.agg(*[F.array_sort(F.collect_set(F.when(F.expr(t), F.col("atom")))).alias(f"p{k}") for k, t in enumerate(tests)])
     out = pools
     for k in range(len(tests)):
-        ok = F.assert_true(F.size(f"p{k}") <= POOL_LIMIT, F.lit("atom list is not short"))
-        out = out.where(ok.isNull()).withColumn(f"a{k}", F.explode(f"p{k}"))
+        out = out.withColumn(f"a{k}", F.explode(f"p{k}"))
     cols = F.array(*[F.col(f"a{k}") for k in range(len(tests))])
     return out.select(F.array_join(F.array_sort(F.array_distinct(cols)), "&").alias("name")).distinct()
 

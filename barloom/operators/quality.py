@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators.bars import SECONDS, _chunk_table
-from barloom.session import BROADCAST_ROWS, broadcast_if_small
+from barloom.session import broadcast_if_small
 
 
 def seconds_between(a: str, b: str) -> Column:
@@ -57,14 +57,13 @@ def known_outages(gaps: DataFrame, outages: DataFrame, tf: str) -> DataFrame:
     def overlaps(at: str) -> Column:
         return (F.col(at) < F.col("end")) & (F.col(at) + step > F.col("start"))
 
-    hit = overlaps("_a") & overlaps("_b")
-    if outages.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        joined = ends.join(F.broadcast(outages), hit, "left")
-    else:
-        days = F.sequence(F.to_date("start"), F.to_date(F.col("end") + step))
-        by_day = outages.withColumn("_day", F.explode(days))
-        joined = ends.withColumn("_day", F.to_date("_a")).join(by_day, hit & (ends["_a"].cast("date") == by_day["_day"]), "left").drop("_day")
-    return joined.groupBy(*gaps.columns).agg(F.min_by("reason", "start").alias("reason"))
+    # An outage that holds the gap's first missing bar lies on that bar's day, or started a step before it.
+    days = F.sequence(F.to_date(F.col("start") - step), F.to_date("end"))
+    by_day = outages.withColumn("_day", F.explode(days))
+    keyed = ends.withColumn("_day", F.to_date("_a")).withColumn("_row", F.monotonically_increasing_id())
+    joined = keyed.join(by_day, (keyed["_day"] == by_day["_day"]) & overlaps("_a") & overlaps("_b"), "left")
+    # Equal steps stay apart by their row.
+    return joined.groupBy("_row", *gaps.columns).agg(F.min_by("reason", "start").alias("reason")).drop("_row")
 
 
 def classify_steps(rows: DataFrame, outages: DataFrame, tf: str) -> DataFrame:

@@ -42,7 +42,7 @@ def span_books(sig: DataFrame, score_from: int, holdout_from: int) -> DataFrame:
     return out
 
 
-def evaluate(bars: DataFrame, keys: list[str], score_from: int, holdout_from: int, n_trials: int | None = None, blocks_even: int = 4) -> DataFrame:
+def evaluate(bars: DataFrame, keys: list[str], score_from: int, holdout_from: int, n_trials: int | None = None) -> DataFrame:
     """One verdict row per (symbol, config) of the wanted rules."""
     spark = bars.sparkSession
     sig = cut_lineage(K.with_bars(library.signals(bars, keys), bars, score_from))
@@ -56,14 +56,18 @@ def evaluate(bars: DataFrame, keys: list[str], score_from: int, holdout_from: in
     moments = S.return_moments(K.equity_returns(curve), K.KEYS)
     n = n_trials or sum(1 for k in library.RULES.values() for _ in k.configs())
     dsr = S.with_deflated_sharpe(moments, F.lit(n)).select(*K.KEYS, "dsr")
-    perf = K.segment_metrics(curve, paths, day_blocks(seen)).join(F.broadcast(grid.select("config", "rule")), "config")
+    blocks = day_blocks(seen)
+    perf = cut_lineage(K.segment_metrics(curve, paths, blocks).join(F.broadcast(grid.select("config", "rule")), "config"))
+    # The blocks a book was found in, against the blocks that tile its span.
+    found = perf.groupBy(*K.KEYS).agg(F.countDistinct("block").cast("int").alias("n_windows"))
+    tiles = blocks.groupBy("symbol").agg(F.count(F.lit(1)).cast("int").alias("expected_windows"))
     pbo = S.overfitting_probability(
-        perf.select("symbol", "rule", "block", F.col("config").alias("ord"), F.col("block_pnl").alias("value")), ["symbol", "rule"], blocks_even
+        perf.select("symbol", "rule", "block", F.col("config").alias("ord"), F.col("block_pnl").alias("value")), ["symbol", "rule"]
     ).select("symbol", "rule", "pbo")
     bench = _benchmarks(bars, score_from, holdout_from)
     full = (
         rows.join(dsr, K.KEYS, "left").join(F.broadcast(grid.select("config", "rule")), "config").join(pbo, ["symbol", "rule"], "left")
-        .join(broadcast_if_small(bench), "symbol").withColumn("n_windows", F.lit(blocks_even)).withColumn("expected_windows", F.lit(blocks_even))
+        .join(broadcast_if_small(bench), "symbol").join(found, K.KEYS, "left").join(tiles, "symbol", "left").fillna(0, ["n_windows"])
     )
     return G.library_verdict(full)
 

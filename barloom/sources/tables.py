@@ -30,8 +30,9 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _from_lines(lines: DataFrame, symbol) -> DataFrame:
     price = F.col("l_extendedprice") / F.col("l_quantity")
-    # One long orders the lines: order, line, then price, as (order, line) repeats.
-    seq = F.shiftleft(F.col("l_orderkey") * 8 + F.col("l_linenumber"), 20) + F.floor(price * 8)
+    # One exact number orders the lines: order, line, then price, as (order, line) repeats.
+    line = F.col("l_orderkey").cast("decimal(19,0)") * F.lit(100_000).cast("decimal(6,0)") + F.col("l_linenumber").cast("decimal(5,0)")
+    seq = (line.cast("decimal(25,0)") * F.lit("10000000000000").cast("decimal(14,0)") + F.floor(price * 1000).cast("decimal(13,0)")).cast("decimal(38,0)")
     return (
         lines.select(
             symbol.alias("symbol"),

@@ -25,6 +25,20 @@ def _hourly(spark, sf):
     return bars(spark, sf, "1h")
 
 
+_TIED = TICKS.replace("event_type AS symbol, ts,", "event_type AS symbol, date_trunc('hour', ts) AS ts,")
+
+
+@query(
+    "bars_tick_ties",
+    f"""WITH {_TIED} SELECT symbol, time_bucket(INTERVAL 4 HOUR, ts, TIMESTAMP '1970-01-01') AS ts, first(price ORDER BY ts, event_id) AS o,
+  max(price) AS h, min(price) AS l, last(price ORDER BY ts, event_id) AS c, sum(v) AS v FROM ticks GROUP BY 1, 2""",
+)
+def _ties(spark, sf):
+    """Many ticks share a time, so their whole ids decide opens and closes."""
+    ticks = tables.ticks(spark, sf)
+    return B.bars_from_ticks(ticks.withColumn("ts", F.date_trunc("hour", "ts").cast(ticks.schema["ts"].dataType)), "4h")
+
+
 @query(
     "bars_resample_bars_to_4h",
     f"""WITH {bars_cte(300)} SELECT symbol, time_bucket(INTERVAL 4 HOUR, ts, TIMESTAMP '1970-01-01') AS ts,

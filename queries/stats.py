@@ -102,10 +102,12 @@ opened AS (SELECT *, coalesce(lag(equity) OVER (PARTITION BY symbol, config ORDE
 perf AS (SELECT o.symbol, regexp_extract(config, '^lib\\.(\\w+)', 1) AS rule, config, block,
   ln(arg_max(equity, day) / arg_min(opened, day)) AS value
   FROM opened o JOIN blocks b ON b.symbol = o.symbol AND day >= block_day AND day < block_end_day GROUP BY 1, 2, 3, 4),
-used AS (SELECT * FROM perf WHERE block < 4), tot AS (SELECT symbol, rule, config, sum(value) AS t, sum(value * value) AS tt FROM used GROUP BY 1, 2, 3),
-sp AS (SELECT s AS split, b AS block FROM range(16) r(s), range(4) q(b) WHERE bit_count(s) = 2 AND (s >> b) & 1 = 1),
-ins AS (SELECT symbol, rule, config, split, sum(value) AS i, sum(value * value) AS ii FROM used JOIN sp USING (block) GROUP BY 1, 2, 3, 4),
-sc2 AS (SELECT symbol, rule, config, split, round({_sharpe_sql('i', 'ii', '2.0')}, 9) AS a, round({_sharpe_sql('(t - i)', '(tt - ii)', '2.0')}, 9) AS z
+nb AS (SELECT symbol, rule, max(block) + 1 - (max(block) + 1) % 2 AS s FROM perf GROUP BY 1, 2),
+used AS (SELECT p.*, nb.s FROM perf p JOIN nb ON nb.symbol = p.symbol AND nb.rule = p.rule WHERE block < nb.s), tot AS (SELECT symbol, rule, config, sum(value) AS t, sum(value * value) AS tt FROM used GROUP BY 1, 2, 3),
+sz AS (SELECT DISTINCT s FROM nb WHERE s > 0), mk AS (SELECT s, unnest(range(CAST(2 ** s AS BIGINT))) AS split FROM sz), mb AS (SELECT s, split, unnest(range(s)) AS block FROM mk),
+sp AS (SELECT * FROM mb WHERE bit_count(split) = s // 2 AND (split >> block) & 1 = 1),
+ins AS (SELECT symbol, rule, config, s, split, sum(value) AS i, sum(value * value) AS ii FROM used JOIN sp USING (s, block) GROUP BY 1, 2, 3, 4, 5),
+sc2 AS (SELECT symbol, rule, config, split, round({_sharpe_sql('i', 'ii', '(s / 2.0)')}, 9) AS a, round({_sharpe_sql('(t - i)', '(tt - ii)', '(s / 2.0)')}, 9) AS z
   FROM ins JOIN tot USING (symbol, rule, config)),
 rk AS (SELECT symbol, rule, split, row_number() OVER (PARTITION BY symbol, rule, split ORDER BY a DESC, config) AS best,
   row_number() OVER (PARTITION BY symbol, rule, split ORDER BY z, config) AS rank, count(*) OVER (PARTITION BY symbol, rule, split) AS n FROM sc2)
@@ -117,7 +119,7 @@ def _pbo(spark, sf):
     seg = K.segment_metrics(curve, paths, day_blocks(sig))
     rule = F.regexp_extract("config", r"^lib\.(\w+)", 1)
     perf = seg.select("symbol", rule.alias("rule"), "block", F.col("config").alias("ord"), F.log(1 + F.col("block_pnl") / K.START_CASH).alias("value"))
-    return _round(S.overfitting_probability(perf, ["symbol", "rule"], 4), "pbo")
+    return _round(S.overfitting_probability(perf, ["symbol", "rule"]), "pbo")
 
 
 _V_RULES = ["sma200", "golden_cross", "rsi14"]

@@ -74,3 +74,23 @@ def test_json_rows(spark):
     lines = spark.createDataFrame([("[1704067200000, 1, 2, 0.5, 1.5, 7]",), ("[1704067500000, 1, 2, 0.5, 1.5]",)], "value string")
     rows = store.rows_from_json(lines).orderBy("ts").collect()
     assert rows[0]["ts"] == T0 and rows[0]["v"] == 7.0 and rows[1]["v"] is None
+
+
+def test_repeated_times_are_counted_one_by_one(spark):
+    at = dt.datetime(2024, 1, 1)
+    rows = [("A", at + dt.timedelta(minutes=5 * k)) for k in (0, 1, 1, 1, 2)] + [("B", at)]
+    bars = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz")
+    outage = spark.createDataFrame([(dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2), "x")], "start timestamp_ntz, end timestamp_ntz, reason string")
+    got = {r["symbol"]: r for r in Q.quality_summary(bars, outage, "5m").collect()}
+    assert (got["A"]["duplicates"], got["B"]["duplicates"], got["(all)"]["duplicates"]) == (2, 0, 2)
+    assert not got["A"]["monotonic"] and got["B"]["monotonic"]
+
+
+def test_ticks_of_one_time_keep_the_order_of_their_ids(spark):
+    at = dt.datetime(2024, 1, 1, 10)
+    ids = [1023, 1024, 5, 2**62, -3]
+    ticks = spark.createDataFrame([("A", at, float(k), 1.0, i) for k, i in enumerate(ids)], "symbol string, ts timestamp_ntz, price double, v double, event_id long")
+    bar = B.bars_from_ticks(ticks, "1h").first()
+    assert (bar["o"], bar["c"]) == (4.0, 3.0)
+    two = B.bars_from_ticks(ticks.where("event_id IN (1023, 1024)"), "1h").first()
+    assert (two["o"], two["c"]) == (0.0, 1.0)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,9 +37,28 @@ def _perf(spark, rows):
 
 def test_overfitting_probability_extremes(spark):
     steady = [[2.0 + 0.1 * k, 1.0 + 0.1 * k, 0.0 + 0.1 * k] for k in (0, 1, 0, 1)]
-    assert S.overfitting_probability(_perf(spark, steady), ["key"], 4).first()["pbo"] == 0.0
+    assert S.overfitting_probability(_perf(spark, steady), ["key"]).first()["pbo"] == 0.0
     swapped = [[1.0, -1.0], [1.1, -1.1], [-1.0, 1.0], [-1.1, 1.1]]
-    assert S.overfitting_probability(_perf(spark, swapped), ["key"], 4).first()["pbo"] >= 1 / 3
+    assert S.overfitting_probability(_perf(spark, swapped), ["key"]).first()["pbo"] >= 1 / 3
+
+
+@pytest.mark.parametrize("blocks", [5, 6, 7])
+def test_overfitting_probability_takes_all_even_blocks(spark, blocks):
+    from itertools import combinations
+
+    rng = np.random.default_rng(blocks)
+    rows = rng.normal(size=(blocks, 4)).tolist()
+    s = blocks - blocks % 2
+    used, low = np.array(rows[:s]), 0
+    halves = list(combinations(range(s), s // 2))
+    for half in halves:
+        inside, outside = used[list(half)], used[[b for b in range(s) if b not in half]]
+        sharpe = lambda x: x.mean(axis=0) / x.std(axis=0, ddof=1)
+        best = sharpe(inside).argmax()
+        rank = (sharpe(outside) <= sharpe(outside)[best]).sum()
+        low += rank / 5 <= 0.5
+    got = S.overfitting_probability(_perf(spark, rows), ["key"]).first()
+    assert got["splits"] == len(halves) and got["pbo"] == pytest.approx(low / len(halves))
 
 
 def test_cscv_counts(spark):
