@@ -135,23 +135,41 @@ def near_misses(log: DataFrame, gate: str, k: int = 8) -> DataFrame:
 
 # --- atom effects ---------------------------------------------------------------
 
+# Upper limits and labels of each family's first number, and of a move in percent.
+REACH = {"short": 24, "mid": 96, "long": None}
+PACE = {"fast": 40, "mid": 100, "slow": None}
+DEPTH = {"le24": 24, "le48": 48, "le96": 96, "gt96": None}
+WIDTH = {"fast": 100, "slow": None}
+PERCENT = {"2": 2, "4": 4, "6": 6, "8plus": None}
+SCALES = {
+    **dict.fromkeys(("mom", "dip"), REACH),
+    **dict.fromkeys(("sma_abv", "ema_abv", "h1_sma_abv", "h1_ema_abv", "h4_sma_abv", "h4_ema_abv"), PACE),
+    **dict.fromkeys(("don_hi", "don_lo", "near_swing_hi", "near_swing_lo", "dbl_bot"), DEPTH),
+    **dict.fromkeys(("sma_stack", "ema_stack"), WIDTH),
+}
+
+
+def _steps(scale: dict) -> Column:
+    return F.array(*[F.struct(F.lit(float("inf") if top is None else float(top)).alias("top"), F.lit(label).alias("label")) for label, top in scale.items()])
+
+
+def _label(steps: Column, value: Column) -> Column:
+    """Label of the first step that holds the value; of the last one where there is no value."""
+    return F.get(F.filter(steps, lambda x: F.coalesce(value <= x["top"], x["top"] == float("inf"))), F.lit(0))["label"]
+
+
 def bucket(p: Column) -> Column:
-    """Coarse bucket of a parsed atom (family, params, lo, hi, op)."""
-    fam, n = p["family"], F.try_element_at(F.split(p["params"], "_"), F.lit(1)).try_cast("int")
+    """Coarse bucket of a parsed atom (family, params, lo, hi, op): its family, the step of its numbers, its percent."""
+    fam = p["family"]
+    numbers = F.transform(F.split(p["params"], "_"), lambda x: x.try_cast("int"))
+    first = F.try_element_at(numbers, F.lit(1))
     thr = F.coalesce(p["lo"], p["hi"])
-    span = lambda a, b, x, y, z: F.when(n <= a, x).when(n <= b, y).otherwise(z)
-    pct = F.when(thr <= 2, "2").when(thr <= 4, "4").when(thr <= 6, "6").otherwise("8plus")
-    longest = F.array_max(F.transform(F.split(p["params"], "_"), lambda x: x.try_cast("int")))
-    return (
-        F.when(fam.isin("mom", "dip"), F.concat(fam, F.lit(":"), span(24, 96, "short", "mid", "long"), F.lit(":"), pct, F.lit("pc")))
-        .when(fam.endswith("_abv"), F.concat(fam, F.lit(":"), span(40, 100, "fast", "mid", "slow")))
-        .when(fam.isin("don_hi", "don_lo", "near_swing_hi", "near_swing_lo", "dbl_bot"),
-              F.concat(fam, F.lit(":"), F.when(n <= 24, "le24").when(n <= 48, "le48").when(n <= 96, "le96").otherwise("gt96")))
-        .when((fam == "rsi") & (p["op"] == "band"), "rsi:band")
-        .when(fam == "rsi", F.concat(F.lit("rsi:"), p["op"], F.lit(":"), (F.bround(thr / 10.0) * 10).cast("int").cast("string")))
-        .when(fam.isin("sma_stack", "ema_stack"), F.concat(fam, F.lit(":"), F.when(longest <= 100, "fast").otherwise("slow")))
-        .otherwise(fam)
-    )
+    scales = F.create_map(*[x for k, v in SCALES.items() for x in (F.lit(k), _steps(v))])
+    size = F.when(fam.endswith("_stack"), F.array_max(numbers)).otherwise(first)
+    percent = F.when(fam.isin("mom", "dip"), F.concat(_label(_steps(PERCENT), thr), F.lit("pc")))
+    ten = F.when(p["op"] != "band", (F.bround(thr / 10.0) * 10).cast("int").cast("string"))
+    rsi = F.concat_ws(":", F.lit("rsi"), p["op"], ten)
+    return F.when(fam == "rsi", rsi).otherwise(F.concat_ws(":", fam, _label(F.try_element_at(scales, fam), size), percent))
 
 
 def block_members(rows: DataFrame) -> DataFrame:
@@ -376,31 +394,28 @@ def steer(candidates: DataFrame, scores: DataFrame, n: int, seed: int = 7063) ->
 
 # --- keys, candidates, order ----------------------------------------------------
 
+# What an atom's first word stands for, and which roles together give a key, the first that holds.
+ROLES = {"h4": "h4", "h1": "h1", "mom": "mom", "dip": "dip", "don": "struct", "near": "struct", "dbl": "struct"}
+FAMILY_OF = (("h4 mom", "h4"), ("h1 mom", "h1"), ("h4", "h4"), ("h1", "h1"), ("struct mom", "struct"), ("struct dip", "struct"))
+SPINE_OF = (("h4 mom", "h4"), ("h1", "h1"), ("h4", "h4"), ("struct", "struct"))
+
+
 def stack_keys(name: Column) -> Column:
-    """Family, spine and extra keys of a stack."""
-    a = N.atoms(name)
-    first = lambda test: F.try_element_at(F.filter(a, test), F.lit(1))
-    starts = lambda *ps: (lambda x: F.exists(F.array(*[F.lit(p) for p in ps]), lambda p: F.startswith(x, p)))
-    struct = first(starts("don_hi_", "don_lo_", "near_swing_hi_", "near_swing_lo_", "dbl_bot_", "dbl_top_"))
-    has = lambda p: F.exists(a, lambda x: x.startswith(p))
-    entry = F.when(has("mom_"), "mom").when(has("dip_"), "dip").otherwise("flat")
-    tf = F.when(has("h4_"), "h4").when(has("h1_"), "h1")
-    lead = F.when(has("h4_") & has("mom_"), "h4").when(has("h1_") & has("mom_"), "h1").otherwise(tf)
-    family = (
-        F.when(lead.isNotNull(), F.concat(lead, F.lit("×"), entry))
-        .when(struct.isNotNull() & (entry != "flat"), F.concat(F.lit("struct×"), entry))
-        .when(entry != "flat", entry)
-        .otherwise("other")
-    )
-    spine_tf = F.when(has("h4_") & has("mom_"), "h4").when(has("h1_"), "h1").when(has("h4_"), "h4")
-    head = F.when(spine_tf == "h4", first(starts("h4_"))).when(spine_tf == "h1", first(starts("h1_")))
-    spine = (
-        F.when(head.isNotNull(), F.concat(N.near_duplicate_key(head), F.lit("×"), entry))
-        .when(struct.isNotNull(), F.concat(F.regexp_replace(struct, r"_\d+$", ""), F.lit("×"), entry))
-        .otherwise(F.concat(F.lit("plain×"), entry))
-    )
-    extra = F.when(struct.isNotNull() & (entry != "flat"), F.concat(F.lit("struct×"), entry))
-    return F.array_distinct(F.array_compact(F.array(family, spine, extra)))
+    """Family, spine and extra keys of a stack, from the roles its atoms play."""
+    role_of = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
+    played = F.filter(F.transform(N.atoms(name), lambda a: F.struct(F.try_element_at(role_of, F.substring_index(a, "_", 1)).alias("role"), a.alias("atom"))), lambda x: x["role"].isNotNull())
+    roles = F.transform(played, lambda x: x["role"])
+    all_of = lambda needs: F.size(F.array_except(F.array(*[F.lit(r) for r in needs.split()]), roles)) == 0
+    pick = lambda table: F.coalesce(*[F.when(all_of(needs), F.lit(out)) for needs, out in table])
+    entry = F.coalesce(*[F.when(F.array_contains(roles, r), F.lit(r)) for r in ("mom", "dip")], F.lit("flat"))
+    lead, spine = pick(FAMILY_OF), pick(SPINE_OF)
+    atom = F.get(F.filter(played, lambda x: x["role"] == spine), F.lit(0))["atom"]
+    head = F.when(spine == "struct", F.regexp_replace(atom, r"_\d+$", "")).when(spine.isNotNull(), N.near_duplicate_key(atom)).otherwise("plain")
+    alone = F.when(entry == "flat", "other").otherwise(entry)
+    crossed = lambda x: F.concat(x, F.lit("×"), entry)
+    extra = F.when(F.array_contains(roles, "struct") & (entry != "flat"), crossed(F.lit("struct")))
+    return F.array_distinct(F.array_compact(F.array(F.coalesce(crossed(lead), alone), crossed(head), extra)))
+
 
 
 def burned_keys(index: DataFrame) -> DataFrame:
