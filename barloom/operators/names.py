@@ -17,21 +17,33 @@ from barloom.session import broadcast_if_small, cut_lineage
 DEAD_DEPTH, DEAD_MOM_PCT, DEAD_DIP_PCT, DEAD_DIP_LOOKBACKS = 5, 14, 5, (18, 24)
 MAX_ATOMS, LOOKBACK_CAP, MIN_MOVES, FAMILY_TOL = 7, 96, 500, 0.20
 WORDS = ("wt_cross_up_os", "wt_below_os", "wt_cross_down_ob", "sma_stack")
-STRUCTURE = r"(don_hi|don_lo|near_swing_hi|near_swing_lo|dbl_bot|dbl_top)_(\d+)"
-
-# pattern, family, parameters, lower bound, upper bound; numbers are groups.
-PATTERNS = [
-    (r"^rsi_(\d+)_>_?(\d+)(?:_<_?(\d+))?$", "'rsi'", (1,), 2, 3),
-    (r"^rsi_(\d+)_<_?(\d+)$", "'rsi'", (1,), None, 2),
-    (r"^rsi_(\d+)_(\d+)$", "'rsi'", (1,), 2, None),
-    (r"^(mom|dip)_(\d+)b_(?:gt|lt)(\d+)pc$", "1", (2,), 3, None),
-    (r"^(h[14]_(?:ema|sma)_abv)_(\d+)$", "1", (2,), None, None),
-    (r"^(sma_abv|ema_abv)_(\d+)$", "1", (2,), None, None),
-    (r"^(sma_stack|ema_stack)_([\d_]+)$", "1", (2,), None, None),
-    (rf"^{STRUCTURE}$", "1", (2,), None, None),
-    (r"^(bb)_((?:lower|upper)_\d+_\d+)$", "1", (2,), None, None),
-    (r"^(vol_lowsm)_(\d+_\d+)$", "1", (2,), None, None),
-]
+STRUCTURES = ("don_hi", "don_lo", "near_swing_hi", "near_swing_lo", "dbl_bot", "dbl_top")
+
+#: Numbers of an atom; the digit of h1 and h4 belongs to the word.
+NUMBER = r"(?<![h0-9])[0-9]+"
+
+
+def _shapes() -> dict[str, tuple]:
+    """Shape of an atom (# for a number) -> family, what goes before its parameters, which numbers those are, and which are the bounds."""
+    out = {}
+    for gt in (">", ">_"):
+        out[f"rsi_#_{gt}#"] = ("rsi", "", (0,), 1, None)
+        for lt in ("<", "<_"):
+            out[f"rsi_#_{gt}#_{lt}#"] = ("rsi", "", (0,), 1, 2)
+            out[f"rsi_#_{lt}#"] = ("rsi", "", (0,), None, 1)
+    out["rsi_#_#"] = ("rsi", "", (0,), 1, None)
+    for move in ("mom", "dip"):
+        for way in ("gt", "lt"):
+            out[f"{move}_#b_{way}#pc"] = (move, "", (0,), 1, None)
+    means = [f"{kind}_abv" for kind in ("sma", "ema")]
+    for word in [*means, *[f"{frame}_{m}" for frame in ("h1", "h4") for m in means], *STRUCTURES]:
+        out[f"{word}_#"] = (word, "", (0,), None, None)
+    for side in ("lower", "upper"):
+        out[f"bb_{side}_#_#"] = ("bb", f"{side}_", (0, 1), None, None)
+    out["vol_lowsm_#_#"] = ("vol_lowsm", "", (0, 1), None, None)
+    for word in WORDS:
+        out[word] = (word, "", (), None, None)
+    return out
 
 
 def atoms(name: Column | str) -> Column:
@@ -39,26 +51,19 @@ def atoms(name: Column | str) -> Column:
     return F.filter(F.transform(F.split(name, "&"), lambda a: F.trim(a)), lambda a: a != "")
 
 
-def _num(a: Column, pattern: str, group: int | None) -> Column:
-    if group is None:
-        return F.lit(None).cast("double")
-    return F.nullif(F.regexp_extract(a, pattern, group), F.lit("")).cast("double")
-
-
 def parsed(a: Column) -> Column:
-    """struct(family, params, lo, hi) of an atom, null when unknown."""
-    out = None
-    for pattern, family, params, lo, hi in PATTERNS:
-        fam = F.lit(family.strip("'")) if family.startswith("'") else F.regexp_extract(a, pattern, int(family))
-        value = F.struct(
-            fam.alias("family"),
-            F.concat_ws("_", *[F.regexp_extract(a, pattern, g) for g in params]).alias("params"),
-            _num(a, pattern, lo).alias("lo"),
-            _num(a, pattern, hi).alias("hi"),
-        )
-        out = F.when(a.rlike(pattern), value) if out is None else out.when(a.rlike(pattern), value)
-    word = F.struct(a.alias("family"), F.lit("").alias("params"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"))
-    return out.when(a.isin(*WORDS), word)
+    """struct(family, params, lo, hi) of an atom, null when unknown: its shape is looked up, its numbers are placed."""
+    numbers = F.regexp_extract_all(a, F.lit(NUMBER), F.lit(0))
+    shape = F.regexp_replace(a, NUMBER, "#")
+    kind = "struct<family: string, before: string, params: array<int>, lo: int, hi: int>"
+    row = lambda v: F.struct(F.lit(v[0]), F.lit(v[1]), F.array(*[F.lit(i) for i in v[2]]), F.lit(v[3]), F.lit(v[4])).cast(kind)
+    known = F.try_element_at(F.create_map(*[x for k, v in _shapes().items() for x in (F.lit(k), row(v))]), shape)
+    number = lambda i: F.get(numbers, i)
+    params = F.concat(known["before"], F.array_join(F.transform(known["params"], number), "_"))
+    made = F.struct(known["family"].alias("family"), params.alias("params"), number(known["lo"]).cast("double").alias("lo"), number(known["hi"]).cast("double").alias("hi"))
+    none = F.lit(None).cast("double")
+    stack = F.struct(F.substring(a, 1, 9).alias("family"), F.substring(a, 11, 1_000).alias("params"), none.alias("lo"), none.alias("hi"))
+    return F.when(known.isNotNull(), made).when(a.rlike(r"^[se]ma_stack_[0-9_]+$"), stack)
 
 
 def atom_rows(names: DataFrame) -> DataFrame:
@@ -227,7 +232,7 @@ def is_parseable(name: Column) -> Column:
 
 
 def structure_lookbacks(name: Column) -> Column:
-    return F.regexp_extract_all(name, F.lit(rf"(?:^|&)\s*{STRUCTURE}\s*(?=&|$)"), F.lit(2)).cast("array<int>")
+    return F.regexp_extract_all(name, F.lit(rf"(?:^|&)\s*({'|'.join(STRUCTURES)})_(\d+)\s*(?=&|$)"), F.lit(2)).cast("array<int>")
 
 
 def lookback_too_expensive(name: Column, cap: int = LOOKBACK_CAP) -> Column:
@@ -343,16 +348,35 @@ def plan_families(ranked: DataFrame) -> DataFrame:
 # --- neighbours -----------------------------------------------------------------
 
 STEPS = (0.10, 0.20)
-# group of the atom that moves, rounding step, floor, ceiling
-MOVES = [
-    (r"^((?:mom|dip)_)(\d+)(b_.*)$", "lookback", 6, 6, None),
-    (r"^((?:mom|dip)_\d+b_(?:gt|lt))(\d+)(pc)$", "percent", 2, 2, 40),
-    (r"^(h[14]_(?:ema|sma)_abv_|sma_abv_|ema_abv_)(\d+)()$", "ma", None, 5, None),
-    (r"^(rsi_)(\d+)(_.*)$", "ma", None, 5, None),
-    (r"^(rsi_\d+_[<>])(\d+)(.*)$", "rsi", 5, 5, 95),
-    (r"^(rsi_\d+_>\d+_<)(\d+)()$", "rsi", 5, 5, 95),
-    (r"^((?:don_hi|don_lo|near_swing_hi|near_swing_lo|dbl_bot)_)(\d+)()$", "struct", 6, 6, 96),
-]
+# How a number of each kind moves: rounding step, floor, ceiling. Periods round to usual periods from 5 on.
+GRIDS = {"lookback": (6, 6, 2**31), "percent": (2, 2, 40), "level": (5, 5, 95), "reach": (6, 6, 96)}
+
+
+def _kinds() -> dict[str, tuple]:
+    """Shape of an atom -> the kind of each of its numbers."""
+    out = {}
+    for shape, (family, *_) in _shapes().items():
+        if family in ("mom", "dip"):
+            out[shape] = ("lookback", "percent")
+        elif family.endswith("_abv"):
+            out[shape] = ("period",)
+        elif family == "rsi":
+            bounds = shape.split("_")[2:]
+            out[shape] = ("period", *["level" if x[0] in "<>" and x.endswith("#") and len(x) > 1 else "fixed" for x in bounds if "#" in x])
+        elif family in STRUCTURES and family != "dbl_top":
+            out[shape] = ("reach",)
+    return out
+
+
+def _moved(value: Column, kind: Column, by: float) -> Column:
+    """The number moved by a share of itself, null where its kind does not allow that."""
+    raw = value * (1.0 + by)
+    period = F.bround(raw).cast("int")
+    out = F.when((kind == "period") & (period >= 5), rounded_period(period))
+    for name, (step, low, high) in GRIDS.items():
+        n = (F.bround(raw / step) * step).cast("int")
+        out = out.when((kind == name) & n.between(low, high), n)
+    return out
 
 
 def neighbour_names(names: DataFrame, caps: DataFrame) -> DataFrame:
@@ -362,40 +386,24 @@ def neighbour_names(names: DataFrame, caps: DataFrame) -> DataFrame:
     are dropped.
     """
     rows = names.select("name").distinct().select("name", atoms("name").alias("_all"), F.posexplode(atoms("name")).alias("pos", "atom"))
-    options = []
-    for pattern, kind, step, low, high in MOVES:
-        value = F.regexp_extract("atom", pattern, 2).cast("int")
-        parts = []
-        for frac in STEPS:
-            for sign in (-1.0, 1.0):
-                raw = value * (1.0 + sign * frac)
-                if kind == "ma":
-                    n = F.bround(raw).cast("int")
-                    got = F.when(n >= 5, rounded_period(n))
-                else:
-                    n = (F.bround(raw / step) * step).cast("int")
-                    got = F.when((n >= low) & (F.lit(True) if high is None else n <= high), n)
-                parts.append(F.when(got != value, F.concat(F.regexp_extract("atom", pattern, 1), got.cast("string"), F.regexp_extract("atom", pattern, 3))))
-        options.append(F.when(F.col("atom").rlike(pattern), F.array(*parts)).otherwise(F.array().cast("array<string>")))
-    stack = F.col("atom").rlike(r"^(sma|ema)_stack_[\d_]+$")
-    periods = F.split(F.regexp_extract("atom", r"_stack_([\d_]+)$", 1), "_")
-    head = F.regexp_extract("atom", r"^((?:sma|ema)_stack_)", 1)
-
-    def moved(k: Column) -> Column:
-        v = F.element_at(periods, k).cast("int")
-        outs = []
-        for frac in STEPS:
-            for sign in (-1.0, 1.0):
-                n = F.bround(v * (1.0 + sign * frac)).cast("int")
-                got = F.when(n >= 5, rounded_period(n))
-                swapped = F.transform(periods, lambda x, i: F.when(i == k - 1, got.cast("string")).otherwise(x))
-                outs.append(F.when(got != v, F.concat(head, F.array_join(swapped, "_"))))
-        return F.array(*outs)
-
-    stacked = F.when(stack, F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.size(periods), F.lit(1))), moved))).otherwise(
-        F.array().cast("array<string>")
-    )
-    every = F.array_distinct(F.array_compact(F.concat(*options, stacked)))
+    numbers = F.transform(F.regexp_extract_all("atom", F.lit(NUMBER), F.lit(0)), lambda x: x.cast("int"))
+    between = F.split("atom", NUMBER, -1)
+    kinds = F.create_map(*[x for k, v in _kinds().items() for x in (F.lit(k), F.array(*[F.lit(y) for y in v]))])
+    stack = F.when(F.col("atom").rlike(r"^(sma|ema)_stack_[0-9_]+$"), F.transform("numbers", lambda _: F.lit("period")))
+    rows = rows.withColumn("numbers", numbers).withColumn("between", between)
+    rows = rows.withColumn("kinds", F.coalesce(F.try_element_at(kinds, F.regexp_replace("atom", NUMBER, "#")), stack))
+
+    def swaps(value: Column, at: Column) -> Column:
+        def swap(by):
+            new = _moved(value, F.get("kinds", at), by)
+            texts = F.transform("numbers", lambda x, i: F.when(i == at, new).otherwise(x).cast("string"))
+            pieces = F.zip_with("between", texts, lambda gap, n: F.concat(gap, F.coalesce(n, F.lit(""))))
+            return F.when(new != value, F.array_join(pieces, ""))
+
+        return F.array(*[swap(sign * step) for step in STEPS for sign in (-1.0, 1.0)])
+
+    every = F.array_distinct(F.array_compact(F.flatten(F.transform("numbers", swaps))))
+    rows = rows.where("kinds IS NOT NULL")
     made = rows.withColumn("swap", F.explode(every)).select(
         F.col("name").alias("parent"),
         F.array_join(F.transform("_all", lambda a, i: F.when(i == F.col("pos"), F.col("swap")).otherwise(a)), "&").alias("name"),
