@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.session import cut_lineage
+from barloom.session import shared_dir
 
 #: Buckets over which ranks and running sums of one group are spread.
 RANK_BUCKETS = 1024
@@ -22,9 +24,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_collected: list[list[str]] = []
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, safe from lost executors."""
-    return cut_lineage(df)
+    path = f"{shared_dir(df.sparkSession)}/barloom/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if _collected:
+        _collected[-1].append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def collected(paths: list[str]):
+    """Note in ``paths`` the tables that are written inside, so that they can be dropped once nothing reads them."""
+    _collected.append(paths)
+    try:
+        yield paths
+    finally:
+        _collected.pop()
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables of the shared folder and forget them."""
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:

@@ -6,33 +6,55 @@ pieces. Null texts fail the quality rules, an empty table stays empty, and extra
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm import mixing, neardup, packing, pii, quality
-from barloom.llm.common import table, written
+from barloom.llm.common import collected, drop_tables, table, written
 from barloom.llm.queries import vocabulary
 
 
+#: Tables of the stage that ran last; its result is written before the next stage starts.
+_made: list[str] = []
+
+
+def staged(stage):
+    """Drop the tables of the stage before, whose result is written by now, and keep note of this stage's own."""
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_tables(spark, _made)
+        with collected(_made):
+            return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@staged
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and their stratum's certified cutoffs."""
     return quality.judge(docs, table(spark, sf_dir, "labels")).where("kept").select("row.*")
 
 
+@staged
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies: five-word shingles, similarity 0.8 or more."""
     return neardup.without_copies(docs, k=5, percent=80)
 
 
+@staged
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with personal data replaced by its kind; n_chars follows the text."""
     return pii.masked(docs, length_col="n_chars" if "n_chars" in docs.columns else None)
 
 
+@staged
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
     return mixing.repeated(docs)
 
 
+@staged
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces in sequences of 2048; a document taken twice is packed twice."""
     return packing.digest(docs, vocabulary("byte_bpe_50k.json"), end_id=0, capacity=2048)
