@@ -81,7 +81,8 @@ def mix(docs: DataFrame, text_col="text", source_col="source", id_col="doc_id",
     for _ in range(2):
         now = written(_swap_one(now, cap))
     out = now.select("doc_id", "source", "size", "source_size", "target", "copies", "nth")
-    return out.join(thin.select("nth", "row"), "nth").drop("nth") if keep_row else out.drop("nth")
+    # Rows with their texts are joined by a shuffle at every size, never by a broadcast.
+    return out.hint("merge").join(thin.select("nth", "row"), "nth").drop("nth") if keep_row else out.drop("nth")
 
 
 def _rounded(ranked: DataFrame, cap: float) -> DataFrame:
