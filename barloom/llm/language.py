@@ -169,12 +169,13 @@ def train(labelled: DataFrame, pieces: list[str], train_docs: int = TRAIN_DOCS,
 
         def expect(batches):
             import pyarrow as pa
+            import pyarrow.compute as pc
 
             names, probs, columns = model.value
             lattice, sums = Lattice(names), {}
             for batch in batches:
                 for lang in set(batch.column(0).to_pylist()):
-                    mine = batch.filter(pa.compute.equal(batch.column(0), lang))
+                    mine = batch.filter(pc.equal(batch.column(0), lang))
                     n_of = dict(zip(mine.column(1).to_pylist(), mine.column(2).to_pylist()))
                     for n, group in by_length(n_of):
                         counts = np.array([n_of[w] for w in group], float)
