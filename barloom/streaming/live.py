@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import calendar
 import sys
 import uuid
 from collections.abc import Iterator
+from types import SimpleNamespace
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -141,23 +143,40 @@ def account_step(state: tuple | None, row) -> tuple[tuple, list[tuple]]:
     return (row.day, long, lockout, pending, cash, qty, stop, entry), [(*e, cash + qty * row.c) for e in out]
 
 
+WAITING = "w_day array<date>, w_o array<double>, w_l array<double>, w_c array<double>, w_signal array<boolean>"
+
+
 def _accounts(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    now = state.get if state.exists else None
-    rows = pd.concat(list(batches)).sort_values("day", kind="stable")
-    out = []
-    for row in rows.itertuples(index=False):
-        now, events = account_step(now, row)
-        out += [(key[0], *e) for e in events]
-    if now is not None:
-        state.update(tuple(now))
+    """Hold days until the watermark has passed them, then apply them in order. A day that comes after a later one was
+    applied is reported as ``late``; repeats of a waiting day are ignored."""
+    *now, days, opens, lows, closes, signals = state.get if state.exists else (None, *[None] * 7, [], [], [], [], [])
+    waiting = {r[0]: r for r in zip(days, opens, lows, closes, signals)}
+    applied, out = (tuple(now) if now[0] is not None else None), []
+    for part in batches:
+        for row in part.itertuples(index=False):
+            if applied is not None and row.day < applied[0]:
+                out.append((key[0], row.day, "late", None, None, None))
+            elif applied is None or row.day > applied[0]:
+                waiting.setdefault(row.day, (row.day, row.o, row.l, row.c, bool(row.signal)))
+    mark = state.getCurrentWatermarkMs()
+    at = lambda day: calendar.timegm(day.timetuple()) * 1000
+    for day in sorted(waiting):
+        if at(day) <= mark:
+            applied, events = account_step(applied, SimpleNamespace(**dict(zip(("day", "o", "l", "c", "signal"), waiting.pop(day)))))
+            out += [(key[0], *e) for e in events]
+    if waiting:
+        state.setTimeoutTimestamp(max(mark + 1, at(min(waiting))))
+    held = [list(x) for x in zip(*[waiting[d] for d in sorted(waiting)])] or [[], [], [], [], []]
+    state.update((*(applied or [None] * 8), *held))
     yield pd.DataFrame(out, columns=["account", "day", "action", "price", "cash", "equity"])
 
 
-def account_stream(days: DataFrame) -> DataFrame:
-    """Fills of every account from (account, day, o, l, c, signal), where ``signal`` is the
-    rule at the close before the day. State is a few numbers per account."""
-    return days.groupBy("account").applyInPandasWithState(
-        _accounts, EVENTS, STATE, "append", GroupStateTimeout.NoTimeout
+def account_stream(days: DataFrame, delay: str = "10 days") -> DataFrame:
+    """Fills of every account from (account, day, o, l, c, signal), where ``signal`` is the rule at the close before the
+    day. Days may come up to ``delay`` out of order; what waits is bounded by the delay, the rest is a few numbers."""
+    timed = days.withColumn("at", F.col("day").cast("timestamp")).withWatermark("at", delay)
+    return timed.select("account", "at", "day", "o", "l", "c", "signal").groupBy("account").applyInPandasWithState(
+        _accounts, EVENTS, f"{STATE}, {WAITING}", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

@@ -124,10 +124,15 @@ def account_days(spark, sf):
 SELECT account, day, action, round(price + 1.3e-7, 5) AS price FROM fills""",
 )
 def _machine(spark, sf):
+    """Days come in six files by hash, so out of order; a clock row far ahead closes the stream's last days."""
     path = f"{shared_dir(spark)}/barloom/days-{uuid.uuid4().hex}"
-    account_days(spark, sf).write.parquet(path)
-    schema = spark.read.parquet(path).schema
-    out = live.drain(live.account_stream(live.file_stream(spark, path, "*.parquet", schema)))
+    days = account_days(spark, sf).drop("t")
+    days.repartition(6, F.xxhash64("account", "day")).write.parquet(f"{path}/a")
+    clock = days.agg(F.lit("clock").alias("account"), F.date_add(F.max("day"), 20_000).alias("day"), *[F.lit(1.0).alias(x) for x in "olc"], F.lit(False).alias("signal"))
+    clock.write.parquet(f"{path}/b")
+    schema = spark.read.parquet(f"{path}/a").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"{path}/*")
+    out = live.drain(live.account_stream(stream, "10000 days"))
     return out.select("account", "day", "action", F.round(F.col("price") + 1.3e-7, 5).alias("price"))
 
 
