@@ -147,16 +147,14 @@ WAITING = "w_day array<date>, w_o array<double>, w_l array<double>, w_c array<do
 
 
 def _accounts(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Hold days until the watermark has passed them, then apply them in order. A day that comes after a later one was
-    applied is reported as ``late``; repeats of a waiting day are ignored."""
+    """Hold days until the watermark has passed them, then apply them in order; repeats of a day are ignored. Days behind
+    the watermark never get here: Spark drops them and counts them in the query's progress."""
     *now, days, opens, lows, closes, signals = state.get if state.exists else (None, *[None] * 7, [], [], [], [], [])
     waiting = {r[0]: r for r in zip(days, opens, lows, closes, signals)}
     applied, out = (tuple(now) if now[0] is not None else None), []
     for part in batches:
         for row in part.itertuples(index=False):
-            if applied is not None and row.day < applied[0]:
-                out.append((key[0], row.day, "late", None, None, None))
-            elif applied is None or row.day > applied[0]:
+            if applied is None or row.day > applied[0]:
                 waiting.setdefault(row.day, (row.day, row.o, row.l, row.c, bool(row.signal)))
     mark = state.getCurrentWatermarkMs()
     at = lambda day: calendar.timegm(day.timetuple()) * 1000

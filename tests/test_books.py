@@ -82,10 +82,18 @@ def test_stream_machine_equals_the_book(walk):
     assert sorted(got) == sorted(want)
 
 
+def lot_book(high, low, close, signal, per_day, fee, slip):
+    import numpy as np
+
+    none = [float("nan")] * len(close)
+    bars = np.array([range(len(close)), high, low, close, none], float).T
+    return L.run_ledger(bars, np.array(signal), per_day, fee, slip)
+
+
 def test_lot_book_hand_case():
     """One entry at 100 with a 2.5% fallback stop, target at 105."""
     close = [100.0, 101.0, 106.0, 106.0]
-    out = L.step_book([100.0, 101.0, 106.0, 106.0], [100.0, 100.5, 104.0, 106.0], close, [True, False, False, False], [float("nan")] * 4, [True] * 4, 2, 0.001, 0.0002)
+    out = lot_book([100.0, 101.0, 106.0, 106.0], [100.0, 100.5, 104.0, 106.0], close, [True, False, False, False], 2, 0.001, 0.0002)
     assert out["trades"] == 1 and dict(out["exits"]) == {"tp": 1}
     entry = 100.0 * 1.0002
     goal = entry + 2 * (entry - 97.5)
@@ -94,7 +102,7 @@ def test_lot_book_hand_case():
 
 
 def test_lot_stop_wins_over_target():
-    out = L.step_book([100.0, 120.0], [100.0, 90.0], [100.0, 100.0], [True, False], [float("nan")] * 2, [True] * 2, 10, 0.0, 0.0)
+    out = lot_book([100.0, 120.0], [100.0, 90.0], [100.0, 100.0], [True, False], 10, 0.0, 0.0)
     assert dict(out["exits"]) == {"stop": 1}
     assert out["max_drawdown"] > 0
 
@@ -102,3 +110,24 @@ def test_lot_stop_wins_over_target():
 def test_trade_sharpe_caps(spark):
     flat = spark.createDataFrame([(0.01,), (0.01,)], "x double")
     assert flat.agg(L.trade_sharpe(F.col("x")).alias("s")).first()["s"] == 0.0
+
+
+def test_account_days_may_come_in_any_order(spark, tmp_path):
+    """Six days over two files, the later file first, one file a trigger: the same fills as in one batch; a day behind the watermark changes nothing."""
+    import datetime as dt
+
+    first = dt.date(2024, 1, 1)
+    rows = [("A", first + dt.timedelta(days=k), 10.0 + k, 9.0 + k, 10.5 + k, k in (2, 3)) for k in range(6)]
+    schema = "account string, day date, o double, l double, c double, signal boolean"
+    clock = ("clock", first + dt.timedelta(days=100), 1.0, 1.0, 1.0, False)
+
+    def fills(name, parts):
+        for k, part in enumerate(parts):
+            spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}/p{k}")
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}/*")
+        return {(r["account"], r["day"], r["action"]) for r in live.drain(live.account_stream(stream, "10 days")).collect()}
+
+    whole = fills("whole", [rows, [clock]])
+    assert {a for _, _, a in whole} == {"enter", "signal"}
+    assert fills("split", [rows[3:], rows[:3], [clock]]) == whole
+    assert fills("late", [rows, [clock], [("clock", first + dt.timedelta(days=101), 1.0, 1.0, 1.0, False)], rows[2:3]]) == whole
