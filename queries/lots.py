@@ -75,10 +75,10 @@ def _vector(spark, sf):
   CAST(1000 + user_id * 13 % 9000 AS DOUBLE) AS cash, CAST(user_id % 600 AS DOUBLE) AS open_risk, (event_id % 100) / CAST(100.0 AS DOUBLE) AS p FROM ticks),
 s AS (SELECT *, entry - CASE WHEN atr > 0 THEN greatest(entry * CAST(0.015 AS DOUBLE), least(entry * CAST(0.04 AS DOUBLE), 2 * atr)) ELSE entry * CAST(0.025 AS DOUBLE) END AS stop FROM x),
 w AS (SELECT *, 10000.0 * CAST(0.01 AS DOUBLE) * greatest(0.5, least(2.0, greatest(0.5, least(2.0, p / 0.5)))) / (entry - stop) AS want,
-  cash / (entry * CAST(1.0002 AS DOUBLE) * CAST(1.001 AS DOUBLE)) AS room FROM s)
-SELECT event_id, round(stop, 6) AS stop, round(entry + 2 * (entry - stop), 6) AS target,
-  CASE WHEN stop <= 0 OR entry <= stop THEN 'stop must be below entry' WHEN open_risk > 0 AND open_risk + (entry - stop) * want > 500 THEN 'open risk'
-    WHEN room * entry < 10 THEN 'notional cap' ELSE 'ok' END AS reason FROM w""",
+  cash / (entry * CAST(1.0002 AS DOUBLE) * CAST(1.001 AS DOUBLE)) AS room FROM s),
+r AS (SELECT *, CASE WHEN stop <= 0 OR entry <= stop THEN 'stop must be below entry' WHEN open_risk > 0 AND open_risk + (entry - stop) * want > 500 THEN 'open risk'
+    WHEN room * entry < 10 THEN 'notional cap' ELSE 'ok' END AS reason FROM w)
+SELECT event_id, round(stop, 6) AS stop, round(entry + 2 * (entry - stop), 6) AS target, reason, round(CASE WHEN reason = 'ok' THEN least(want, room) ELSE 0 END + 1.3e-8, 5) AS size FROM r""",
 )
 def _sizing(spark, sf):
     c = F.col
@@ -92,5 +92,5 @@ def _sizing(spark, sf):
     sized = L.size_position(F.lit(10000.0), c("entry"), c("stop"), c("open_risk"), c("cash"), L.confidence(c("p")))
     return x.withColumn("z", sized).select(
         "event_id", F.round("stop", 6).alias("stop"), F.round(L.take_profit(c("entry"), c("stop")), 6).alias("target"),
-        c("z.reason").alias("reason"),
+        c("z.reason").alias("reason"), F.round(c("z.size") + 1.3e-8, 5).alias("size"),
     )

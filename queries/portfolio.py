@@ -337,30 +337,38 @@ def _trend(spark, sf):
     "regime_drawdown",
     f"""WITH {_D}, r AS (SELECT *, ln(c) - ln(lag(c) OVER w) AS r, row_number() OVER w - 1 AS t, count(*) OVER (PARTITION BY symbol) AS n FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY day)),
 v AS (SELECT *, stddev_samp(r) OVER (PARTITION BY symbol ORDER BY day ROWS 28 PRECEDING) * sqrt(365) AS vol, max(c) OVER (PARTITION BY symbol ORDER BY day ROWS 364 PRECEDING) AS top FROM r),
-l AS (SELECT symbol, vol AS now, 1 - c / top AS dd FROM v WHERE t = n - 1), s AS (SELECT v.symbol, vol FROM v WHERE t - (n - 365) >= 30 AND (t - (n - 365) - 30) % 7 = 0)
-SELECT l.symbol, round(dd, 6) AS dd, round(avg(CASE WHEN vol <= now THEN 1.0 ELSE 0 END), 4) AS pctile FROM s JOIN l USING (symbol) GROUP BY l.symbol, dd""",
+l AS (SELECT symbol, vol AS now, 1 - c / top AS dd FROM v WHERE t = n - 1), s AS (SELECT v.symbol, vol FROM v WHERE t - (n - 365) >= 30 AND (t - (n - 365) - 30) % 7 = 0),
+q AS (SELECT l.symbol, dd, avg(CASE WHEN vol <= now THEN 1.0 ELSE 0 END) AS p FROM s JOIN l USING (symbol) GROUP BY l.symbol, dd),
+z AS (SELECT *, CASE WHEN dd <= 0.1 THEN 90 WHEN dd <= 0.2 THEN 75 WHEN dd <= 0.35 THEN 55 WHEN dd <= 0.5 THEN 35 WHEN dd <= 0.65 THEN 20 ELSE 10 END
+  + CASE WHEN p <= 1 / 3 THEN 10 WHEN p >= 2 / 3 THEN -10 ELSE 0 END AS sc FROM q)
+SELECT symbol, round(dd, 6) AS dd, round(p, 4) AS pctile, CAST(least(100, greatest(0, CASE WHEN dd > 0.65 AND p >= 2 / 3 THEN greatest(sc, 15) ELSE sc END)) AS INTEGER) AS score FROM z""",
 )
 def _drawdown(spark, sf):
-    return RG.drawdown(tables.flag_days(spark, sf)).select("symbol", F.round("dd", 6).alias("dd"), "pctile")
+    return RG.drawdown(tables.flag_days(spark, sf)).select("symbol", F.round("dd", 6).alias("dd"), "pctile", "score")
 
 
 @query(
     "regime_breadth",
     f"""WITH {_D}, m AS (SELECT symbol, day, c > avg(c) OVER w200 AS u2, c > avg(c) OVER w50 AS u5 FROM bars WINDOW w50 AS (PARTITION BY symbol ORDER BY day ROWS 49 PRECEDING),
-  w200 AS (PARTITION BY symbol ORDER BY day ROWS 199 PRECEDING)), x AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY day DESC) = 1)
-SELECT count(*) AS universe, round(avg(CASE WHEN u2 THEN 100.0 ELSE 0 END), 6) AS pct_200, round(avg(CASE WHEN u5 THEN 100.0 ELSE 0 END), 6) AS pct_50 FROM x""",
+  w200 AS (PARTITION BY symbol ORDER BY day ROWS 199 PRECEDING)), x AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY day DESC) = 1),
+p AS (SELECT count(*) AS universe, avg(CASE WHEN u2 THEN 100.0 ELSE 0 END) AS a, avg(CASE WHEN u5 THEN 100.0 ELSE 0 END) AS b FROM x)
+SELECT universe, round(a, 6) AS pct_200, round(b, 6) AS pct_50, CAST(CASE WHEN universe < 5 THEN 50 ELSE least(100, greatest(0,
+  CASE WHEN a >= 80 THEN 95 WHEN a >= 65 THEN 80 WHEN a >= 50 THEN 65 WHEN a >= 35 THEN 45 WHEN a >= 20 THEN 25 ELSE 10 END
+  + CASE WHEN b >= a + 15 THEN 5 WHEN b <= a - 15 THEN -5 ELSE 0 END)) END AS INTEGER) AS score FROM p""",
 )
 def _breadth(spark, sf):
-    return RG.breadth(tables.flag_days(spark, sf)).select("universe", F.round("pct_200", 6).alias("pct_200"), F.round("pct_50", 6).alias("pct_50"))
+    return RG.breadth(tables.flag_days(spark, sf)).select("universe", F.round("pct_200", 6).alias("pct_200"), F.round("pct_50", 6).alias("pct_50"), "score")
 
 
 @query(
     "regime_thrust",
-    f"""WITH days AS ({sheet_sql.SUPPLIER_DAYS}), x AS (SELECT symbol, c > lag(c, 30) OVER (PARTITION BY symbol ORDER BY day) AS up, row_number() OVER (PARTITION BY symbol ORDER BY day DESC) AS k FROM days)
-SELECT count(*) AS universe, round(avg(CASE WHEN up THEN 100.0 ELSE 0 END), 6) AS pct FROM x WHERE k = 1 AND up IS NOT NULL""",
+    f"""WITH days AS ({sheet_sql.SUPPLIER_DAYS}), x AS (SELECT symbol, c > lag(c, 30) OVER (PARTITION BY symbol ORDER BY day) AS up, row_number() OVER (PARTITION BY symbol ORDER BY day DESC) AS k FROM days),
+p AS (SELECT count(*) AS universe, avg(CASE WHEN up THEN 100.0 ELSE 0 END) AS a FROM x WHERE k = 1 AND up IS NOT NULL)
+SELECT universe, round(a, 6) AS pct, CAST(CASE WHEN universe < 5 THEN 50 WHEN a >= 85 THEN 90 WHEN a >= 65 THEN 75 WHEN a >= 45 THEN 55 WHEN a >= 25 THEN 35
+  WHEN a >= 10 THEN 20 ELSE 35 END AS INTEGER) AS score FROM p""",
 )
 def _thrust(spark, sf):
-    return RG.thrust(tables.supplier_days(spark, sf)).select("universe", F.round("pct", 6).alias("pct"))
+    return RG.thrust(tables.supplier_days(spark, sf)).select("universe", F.round("pct", 6).alias("pct"), "score")
 
 
 def _share(spark, sf):
