@@ -6,6 +6,8 @@ The signal frame is written once and every book reads it back.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,15 +28,22 @@ def day_blocks(sig: DataFrame) -> DataFrame:
     return tiled.selectExpr("symbol", "block", edge.format(x="block_start") + " AS block_day", edge.format(x="block_end") + " AS block_end_day")
 
 
-def span_books(sig: DataFrame, score_from: int, holdout_from: int) -> DataFrame:
+def span(sig: DataFrame, score_from: int, sealed_from: dt.date, sealed: bool) -> DataFrame:
+    """Rows of one span with ``scored`` set: discovery cannot see sealed days; the sealed span keeps the days before it to warm up.
+
+    The sealed span is the same dates for every symbol, however long its series is."""
+    if not sealed:
+        return G.discovery_rows(sig, sealed_from).withColumn("scored", F.col("t") >= score_from)
+    return sig.withColumn("scored", (F.col("t") >= score_from) & (F.col("day") >= F.lit(sealed_from)))
+
+
+def span_books(sig: DataFrame, score_from: int, sealed_from: dt.date) -> DataFrame:
     """Base and stress books on the discovery and the sealed span, side by side per config."""
     out = None
-    for tag, lo, hi, costs in (
-        ("oos", score_from, holdout_from, (K.TAKER_FEE, K.SLIPPAGE)), ("holdout", holdout_from, None, (K.TAKER_FEE, K.SLIPPAGE)),
-        ("stress_oos", score_from, holdout_from, K.STRESS), ("stress_holdout", holdout_from, None, K.STRESS),
+    for tag, sealed, costs in (
+        ("oos", False, (K.TAKER_FEE, K.SLIPPAGE)), ("holdout", True, (K.TAKER_FEE, K.SLIPPAGE)), ("stress_oos", False, K.STRESS), ("stress_holdout", True, K.STRESS)
     ):
-        rows = sig.withColumn("scored", F.col("t") >= lo)
-        rows = rows if hi is None else rows.where(F.col("t") < hi)
+        rows = span(sig, score_from, sealed_from, sealed)
         m = K.run_books(rows, *costs)[2].select(
             *K.KEYS, F.col("pnl").alias(f"{tag}_pnl"), F.col("trades").alias(f"{tag}_trades"), F.col("daily_sharpe").alias(f"{tag}_sharpe")
         )
@@ -42,15 +51,15 @@ def span_books(sig: DataFrame, score_from: int, holdout_from: int) -> DataFrame:
     return out
 
 
-def evaluate(bars: DataFrame, keys: list[str], score_from: int, holdout_from: int, n_trials: int | None = None) -> DataFrame:
+def evaluate(bars: DataFrame, keys: list[str], score_from: int, sealed_from: dt.date, n_trials: int | None = None) -> DataFrame:
     """One verdict row per (symbol, config) of the wanted rules."""
     spark = bars.sparkSession
     sig = cut_lineage(K.with_bars(library.signals(bars, keys), bars, score_from))
     grid = library.grid_frame(spark).where(F.col("rule").isin(*keys))
-    rows = cut_lineage(span_books(sig, score_from, holdout_from))
+    rows = cut_lineage(span_books(sig, score_from, sealed_from))
     profit = F.forall(F.array(*[F.coalesce(F.col(f"{t}_pnl") > 0, F.lit(False)) for t in ("oos", "holdout", "stress_oos", "stress_holdout")]), lambda ok: ok)
     rows = G.neighbour_fraction(rows.withColumn("passed", profit), library.neighbours(grid))
-    seen = sig.where(F.col("t") < holdout_from)
+    seen = span(sig, score_from, sealed_from, False)
     paths, curve, _ = K.run_books(seen)
     curve = cut_lineage(curve)
     moments = S.return_moments(K.equity_returns(curve), K.KEYS)
@@ -64,7 +73,7 @@ def evaluate(bars: DataFrame, keys: list[str], score_from: int, holdout_from: in
     pbo = S.overfitting_probability(
         perf.select("symbol", "rule", "block", F.col("config").alias("ord"), F.col("block_pnl").alias("value")), ["symbol", "rule"]
     ).select("symbol", "rule", "pbo")
-    bench = _benchmarks(bars, score_from, holdout_from)
+    bench = _benchmarks(bars, score_from, sealed_from)
     full = (
         rows.join(dsr, K.KEYS, "left").join(F.broadcast(grid.select("config", "rule")), "config").join(pbo, ["symbol", "rule"], "left")
         .join(broadcast_if_small(bench), "symbol").join(found, K.KEYS, "left").join(tiles, "symbol", "left").fillna(0, ["n_windows"])
@@ -72,15 +81,14 @@ def evaluate(bars: DataFrame, keys: list[str], score_from: int, holdout_from: in
     return G.library_verdict(full)
 
 
-def _benchmarks(bars: DataFrame, score_from: int, holdout_from: int) -> DataFrame:
+def _benchmarks(bars: DataFrame, score_from: int, sealed_from: dt.date) -> DataFrame:
     """Buy-and-hold and average-stack P&L of both spans, one row per symbol."""
     stack = library.sma_stack(bars)
     held = stack.withColumn("signal", F.lit(True)).withColumn("config", F.lit("bh"))
     both = K.with_bars(stack.withColumn("config", F.lit("sma")).unionByName(held), bars, score_from)
     out = None
-    for tag, lo, hi in (("oos", score_from, holdout_from), ("holdout", holdout_from, None)):
-        rows = both.withColumn("scored", F.col("t") >= lo)
-        rows = rows if hi is None else rows.where(F.col("t") < hi)
+    for tag, sealed in (("oos", False), ("holdout", True)):
+        rows = span(both, score_from, sealed_from, sealed)
         m = K.run_books(rows, stop=0)[2].groupBy("symbol").agg(
             F.max(F.when(F.col("config") == "sma", F.col("pnl"))).alias(f"sma_{tag}_pnl"), F.max(F.when(F.col("config") == "bh", F.col("pnl"))).alias(f"bh_{tag}_pnl")
         )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from barloom.functions import atoms as A
@@ -126,6 +128,6 @@ def _reject(spark, sf):
 
 @query("evaluate_rules")
 def _evaluate(spark, sf):
-    out = EV.evaluate(tables.flag_days(spark, sf), ["sma200", "turtle20", "rsi14"], 300, 1900)
+    out = EV.evaluate(tables.flag_days(spark, sf), ["sma200", "turtle20", "rsi14"], 300, dt.date(2000, 3, 1))
     return out.select("symbol", "config", "oos_trades", "holdout_trades", F.round("dsr", 6).alias("dsr"), F.round("pbo", 6).alias("pbo"),
                       "neighbours", "neighbours_pass", F.array_join("failing_checks", ",").alias("failing"), "qualified")

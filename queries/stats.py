@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import math
 import re
 
@@ -123,13 +124,13 @@ def _pbo(spark, sf):
 
 
 _V_RULES = ["sma200", "golden_cross", "rsi14"]
-HOLDOUT_FROM = 1900  # row index of the sealed span's first day in the test series
+SEALED_FROM = dt.date(2000, 3, 1)  # first sealed day, the same for every series
 
 
 def verdict_rows(spark, sf):
     """Every config's span results side by side, as the verdict reads them."""
     sig = cut_lineage(book_signals(spark, sf, _V_RULES, True, 300))
-    rows = EV.span_books(sig, 300, HOLDOUT_FROM)
+    rows = EV.span_books(sig, 300, SEALED_FROM)
     ok = (F.col("oos_pnl") > 0) & (F.col("holdout_pnl") > 0) & (F.col("stress_oos_pnl") > 0) & (F.col("stress_holdout_pnl") > 0)
     pairs = library.neighbours(library.grid_frame(spark).where(F.col("rule").isin(*_V_RULES)))
     return G.neighbour_fraction(rows.withColumn("passed", ok), pairs)
@@ -139,10 +140,10 @@ def _span_ctes() -> str:
     """Metrics of the four books, each as its own set of CTEs over ``allsig``."""
     out = []
     for tag, cond, fee, slip in (
-        ("b", f"t >= 300 AND t < {HOLDOUT_FROM}", K.TAKER_FEE, K.SLIPPAGE), ("h", f"t >= {HOLDOUT_FROM}", K.TAKER_FEE, K.SLIPPAGE),
-        ("sb", f"t >= 300 AND t < {HOLDOUT_FROM}", *K.STRESS), ("sh", f"t >= {HOLDOUT_FROM}", *K.STRESS),
+        ("b", f"t >= 300 AND day < DATE '{SEALED_FROM}'", K.TAKER_FEE, K.SLIPPAGE), ("h", f"t >= 300 AND day >= DATE '{SEALED_FROM}'", K.TAKER_FEE, K.SLIPPAGE),
+        ("sb", f"t >= 300 AND day < DATE '{SEALED_FROM}'", *K.STRESS), ("sh", f"t >= 300 AND day >= DATE '{SEALED_FROM}'", *K.STRESS),
     ):
-        lim = f"WHERE t < {HOLDOUT_FROM}" if "b" in tag else ""
+        lim = f"WHERE day < DATE '{SEALED_FROM}'" if "b" in tag else ""
         names = ["sig", "lagged", "sc", "ed", "isl", "held", "hits", "trades", "paths", "pt", "car", "curve", "rets", "per_day", "per_trade", "metrics"]
         text = f"sig AS (SELECT symbol, config, day, o, h, l, c, signal, {cond} AS scored FROM allsig {lim}), " + book_sql(fee=fee, slip=slip)
         for n in names:
@@ -213,8 +214,6 @@ def _verdict(spark, sf):
   count(*) FILTER (day >= DATE '2000-06-01' AND day < DATE '2001-06-01') AS sealed_days FROM sig GROUP BY 1""",
 )
 def _sealed(spark, sf):
-    import datetime as dt
-
     from barloom.sources import tables
 
     start, end = dt.date(2000, 6, 1), dt.date(2001, 6, 1)
