@@ -53,7 +53,19 @@ def op7(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
 
 
-@query("op4_tensored_minhash")
+#: Classes of ``l(a, b)`` links among ``n(id)``: the smallest id reachable.
+_REACH = """r(id, c) AS (SELECT id, id FROM n UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.id), cc AS (SELECT id, min(c) AS component_id FROM r GROUP BY 1)"""
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+OP4_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM w),
+n AS (SELECT w.id, count(g) AS size FROM w LEFT JOIN s ON s.id = w.id GROUP BY 1),
+both AS (SELECT x.id AS a, y.id AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.id <> y.id GROUP BY 1, 2),
+l AS (SELECT a, b FROM both JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE 100 * i >= 85 * (p.size + q.size - i)), {_REACH}
+SELECT n.id AS doc_id, n.size AS n_shingles, component_id, n.id = component_id AS kept FROM n JOIN cc ON cc.id = n.id"""
+
+
+@query("op4_tensored_minhash", OP4_SQL)
 def op4(spark, sf_dir):
     return neardup.classes(table(spark, sf_dir, "documents"), k=3, percent=85)
 
@@ -63,7 +75,14 @@ def op9(spark, sf_dir):
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
-@query("op6_metric_range_join")
+OP6_SQL = f"""WITH RECURSIVE v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), n AS (SELECT id FROM v),
+u AS (SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT x.id AS a, y.id AS b FROM u x JOIN u y ON x.id <> y.id AND len(x.e) = len(y.e) AND list_cosine_similarity(x.e, y.e) >= 0.95), {_REACH},
+k AS (SELECT a AS id, count(*) AS n FROM l GROUP BY 1)
+SELECT n.id AS vec_id, coalesce(k.n, 0) AS n_links, component_id, n.id = component_id AS kept FROM n JOIN cc ON cc.id = n.id LEFT JOIN k ON k.id = n.id"""
+
+
+@query("op6_metric_range_join", OP6_SQL)
 def op6(spark, sf_dir):
     return vectors.classes(table(spark, sf_dir, "embeddings"), cosine=0.95)
 
