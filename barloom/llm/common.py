@@ -17,7 +17,7 @@ RANK_BUCKETS = 1024
 #: Rows an Arrow batch holds at most; documents can be very long.
 BATCH_ROWS = 256
 #: Entries of each half of a word memo in a task.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -250,7 +250,7 @@ def made_encoder(path: str, pad: bytes = b""):
             text = "".join(map(letters.__getitem__, piece.encode()))
         return packed([t.id for t in model.tokenize(text)])
 
-    pieces = Memo(merged)
+    pieces = Memo(merged, MEMO_WORDS // 2)
 
     def chunk(space: str):
         lead = "" if folds else space
@@ -265,7 +265,7 @@ def made_encoder(path: str, pad: bytes = b""):
 
         return ids
 
-    first, rest = Memo(chunk("")), Memo(chunk(" "))
+    first, rest = Memo(chunk(""), MEMO_WORDS // 10), Memo(chunk(" "))
 
     def encode(text: str | None) -> bytes:
         if not text:
