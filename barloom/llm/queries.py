@@ -60,8 +60,8 @@ OP4_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id AS id, list_filter(regexp_split
 s AS (SELECT DISTINCT id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
   ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM w),
 n AS (SELECT w.id, count(g) AS size FROM w LEFT JOIN s ON s.id = w.id GROUP BY 1),
-both AS (SELECT x.id AS a, y.id AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.id <> y.id GROUP BY 1, 2),
-l AS (SELECT a, b FROM both JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE 100 * i >= 85 * (p.size + q.size - i)), {_REACH}
+common AS (SELECT x.id AS a, y.id AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.id <> y.id GROUP BY 1, 2),
+l AS (SELECT a, b FROM common JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE 100 * i >= 85 * (p.size + q.size - i)), {_REACH}
 SELECT n.id AS doc_id, n.size AS n_shingles, component_id, n.id = component_id AS kept FROM n JOIN cc ON cc.id = n.id"""
 
 
