@@ -16,8 +16,8 @@ from barloom.session import shared_dir
 RANK_BUCKETS = 1024
 #: Rows an Arrow batch holds at most; documents can be very long.
 BATCH_ROWS = 256
-#: Entries of each half of a word memo in a task.
-MEMO_WORDS = 200_000
+#: Entries of each half of a word memo.
+MEMO_WORDS = 300_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -204,18 +204,19 @@ def byte_letters() -> dict[int, str]:
     return {**{b: chr(b) for b in plain}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
 
 
-def encoder(path: str, pad: bytes = b""):
+def encoder(path: str, pad: bytes = b"", memo_words: int = MEMO_WORDS):
     """The encoder of ``made_encoder``, kept while the Python worker lives, so its tasks share one memo."""
     import sys
     import types
 
     kept = sys.modules.setdefault("_barloom_worker", types.ModuleType("_barloom_worker")).__dict__
-    if (path, pad) not in kept:
-        kept[path, pad] = made_encoder(path, pad)
-    return kept[path, pad]
+    key = (path, pad, memo_words)
+    if key not in kept:
+        kept[key] = made_encoder(*key)
+    return kept[key]
 
 
-def made_encoder(path: str, pad: bytes = b""):
+def made_encoder(path: str, pad: bytes = b"", memo_words: int = MEMO_WORDS):
     """text -> ids as little-endian uint32 bytes, by the tokenizers library through a memo of space-separated chunks.
 
     Both public vocabularies split a text before a single space between two non-space characters, so a text's ids are
@@ -250,7 +251,7 @@ def made_encoder(path: str, pad: bytes = b""):
             text = "".join(map(letters.__getitem__, piece.encode()))
         return packed([t.id for t in model.tokenize(text)])
 
-    pieces = Memo(merged, MEMO_WORDS // 2)
+    pieces = Memo(merged, memo_words)
 
     def chunk(space: str):
         lead = "" if folds else space
@@ -265,7 +266,7 @@ def made_encoder(path: str, pad: bytes = b""):
 
         return ids
 
-    first, rest = Memo(chunk(""), MEMO_WORDS // 10), Memo(chunk(" "))
+    first, rest = Memo(chunk(""), memo_words // 10), Memo(chunk(" "), memo_words)
 
     def encode(text: str | None) -> bytes:
         if not text:

@@ -16,13 +16,15 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import encoder, small_batches, written
+from barloom.llm.common import MEMO_WORDS, encoder, small_batches, written
 
 PIECES = "doc_id long, piece int, start long, length int, ids binary, part int, nth long"
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col="doc_id", text_col="text") -> DataFrame:
-    """One row per piece: ids (little-endian uint32), and its rank ``nth`` among the task's pieces of its length."""
+def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col="doc_id", text_col="text", memo_words: int = MEMO_WORDS) -> DataFrame:
+    """One row per piece: ids (little-endian uint32), and its rank ``nth`` among the task's pieces of its length.
+
+    ``memo_words`` bounds the words whose ids a Python worker keeps, and so its memory; the ids do not depend on it."""
     small_batches(docs.sparkSession)
     end = int(end_id).to_bytes(4, "little")
 
@@ -30,7 +32,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encode, seen, part = encoder(tokenizer, end), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
+        encode, seen, part = encoder(tokenizer, end, memo_words), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()),
                             ("ids", pa.binary()), ("part", pa.int32()), ("nth", pa.int64())])
         for batch in batches:
@@ -135,8 +137,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: i
     return pack(pieces, capacity)
 
 
-def digest(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:
+def digest(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, memo_words: int = MEMO_WORDS) -> DataFrame:
     """As ``pack_documents`` with the crc32 of a piece's ids in place of the ids."""
-    pieces = written(token_pieces(docs, tokenizer, end_id, capacity))
+    pieces = written(token_pieces(docs, tokenizer, end_id, capacity, memo_words=memo_words))
     thin = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return pack(thin, capacity).withColumn("length", F.col("length").cast("long"))

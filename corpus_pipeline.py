@@ -15,6 +15,9 @@ from barloom.llm.common import collected, drop_tables, table, written
 from barloom.llm.queries import vocabulary
 
 
+#: Words whose ids a Python worker keeps: fewer than in a job of packing alone, as the workers of all stages stay alive.
+MEMO_WORDS = 100_000
+
 #: Tables of the stage that ran last; its result is written before the next stage starts.
 _made: list[str] = []
 
@@ -57,7 +60,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @staged
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces in sequences of 2048; a document taken twice is packed twice."""
-    return packing.digest(docs, vocabulary("byte_bpe_50k.json"), end_id=0, capacity=2048)
+    return packing.digest(docs, vocabulary("byte_bpe_50k.json"), end_id=0, capacity=2048, memo_words=MEMO_WORDS)
 
 
 STAGES = [
