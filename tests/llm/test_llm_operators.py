@@ -403,6 +403,38 @@ def test_passages(spark, empty):
     assert passages.repeated(empty).count() == 0
 
 
+def test_passages_around_unlike_text(spark):
+    rng = random.Random(12)
+    words = lambda n: [f"w{rng.randrange(100000)}" for _ in range(n)]
+    head, foot, p, q = words(60), words(60), words(60), words(60)
+    texts = [head + words(80) + foot, head + words(80) + foot, words(30) + p + q, p + words(120) + q + words(9)]
+    got = {(x.doc_id, x.start_word, x.end_word, x.first_doc_id) for x in passages.repeated(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    assert got == {(0, 0, 60, 0), (0, 140, 200, 0), (1, 0, 60, 0), (1, 140, 200, 0), (2, 30, 90, 2), (2, 90, 150, 2), (3, 0, 60, 2), (3, 180, 240, 2)}
+
+
+def test_stretches_match_all_pairs():
+    rng = random.Random(4)
+    for _ in range(100):
+        f, beside, at = [], [(np.empty(0, np.uint64),) * 2], [0, 0]
+        for i in range(rng.randint(1, 9)):
+            gap = [np.array([rng.randrange(10**9) for _ in range(rng.randint(0, 20))], np.uint64) for _ in at] if i else beside[0]
+            beside += [tuple(gap)] if i else []
+            n = rng.randint(4, 40)
+            at = [at[0] + len(gap[0]), at[1] + len(gap[1])]
+            f.append([at[0], at[0] + n, at[1]])
+            at = [at[0] + n, at[1] + n]
+        beside.append(beside[0])
+        good = set()
+        for i in range(len(f)):
+            for j in range(i, len(f)):
+                s, e, a, z = f[i][0], f[j][1], f[i][2], f[j][2] + f[j][1] - f[j][0]
+                same = sum(x[1] - x[0] for x in f[i : j + 1])
+                if min(e - s, z - a) >= 50 and 100 * same >= 80 * max(e - s, z - a):
+                    good.add((s, e, a, z))
+        want = {x for x in good if not any(y != x and y[0] <= x[0] and x[1] <= y[1] for y in good)}
+        assert set(passages.stretches(np.array(f), beside, 50, 80)) == want
+
+
 def test_fenwick_chains_match_all_pairs():
     rng = random.Random(4)
     for _ in range(50):
