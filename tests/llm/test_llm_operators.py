@@ -412,6 +412,26 @@ def test_passages_around_unlike_text(spark):
     assert got == {(0, 0, 60, 0), (0, 140, 200, 0), (1, 0, 60, 0), (1, 140, 200, 0), (2, 30, 90, 2), (2, 90, 150, 2), (3, 0, 60, 2), (3, 180, 240, 2)}
 
 
+def test_fuzzy_passages(spark):
+    rng = random.Random(21)
+    words = lambda n: [f"w{rng.randrange(100000)}" for _ in range(n)]
+    rows, want = [], {}
+    for i in range(60):
+        n, agree = (60, 200)[i % 2], (82, 85, 90)[i % 3]
+        p = words(n)
+        bad = range(7, n, 8) if i < 10 else rng.sample(range(1, n - 1), n * (100 - agree) // 100)
+        rows += [(2 * i, " ".join(words(60) + p + words(60))), (2 * i + 1, " ".join(words(50) + [f"z{i}x{j}" if j in bad else w for j, w in enumerate(p)] + words(70)))]
+        want[2 * i + 1] = (50, 50 + n)
+    got = collections.defaultdict(int)
+    for x in passages.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        if x.doc_id in want:
+            s, e = want[x.doc_id]
+            assert x.start_word >= s and x.end_word <= e
+            got[x.doc_id] += x.n_words
+    assert all(got[2 * i + 1] >= 0.9 * (60, 200)[i % 2] for i in range(10) if i % 2)
+    assert sum(got.values()) >= 0.9 * sum(e - s for s, e in want.values())
+
+
 def test_stretches_match_all_pairs():
     rng = random.Random(4)
     for _ in range(100):
