@@ -412,6 +412,17 @@ def test_passages_around_unlike_text(spark):
     assert got == {(0, 0, 60, 0), (0, 140, 200, 0), (1, 0, 60, 0), (1, 140, 200, 0), (2, 30, 90, 2), (2, 90, 150, 2), (3, 0, 60, 2), (3, 180, 240, 2)}
 
 
+def test_passages_of_other_holders(spark):
+    rng = random.Random(31)
+    words = lambda n: [f"w{rng.randrange(100000)}" for _ in range(n)]
+    p, q, r = words(60), words(60), words(60)
+    texts = [words(30) + p[:45] + words(9), words(40) + p + words(20), words(10) + p + words(20)]
+    texts += [words(30) + q[:30] + words(9), words(30) + q[30:] + words(9), words(40) + q + words(20), words(10) + q + words(20)]
+    texts += [words(20) + r + words(70) + r + words(10), words(10) + r]
+    got = {(x.doc_id, x.start_word, x.end_word, x.first_doc_id) for x in passages.repeated(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    assert got == {(1, 40, 100, 1), (2, 10, 70, 1), (5, 40, 100, 5), (6, 10, 70, 5), (7, 20, 80, 7), (7, 150, 210, 7), (8, 10, 70, 7)}
+
+
 def test_fuzzy_passages(spark):
     rng = random.Random(21)
     words = lambda n: [f"w{rng.randrange(100000)}" for _ in range(n)]
