@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from barloom.llm import language, mixing, neardup, orc_ids, packing, passages, pii, quality, sharding, vectors
+from barloom.llm import language, mixing, neardup, orc_ids, packing, passages, pii, quality, repair, sharding, trie, url_filter, vectors
 from barloom.llm.common import table
+from barloom.llm.oracles import OP11_SQL, OP12_SQL, OP13_SQL
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -95,3 +96,19 @@ def op2(spark, sf_dir):
 @query("op1_collinear_chaining")
 def op1(spark, sf_dir):
     return passages.repeated(table(spark, sf_dir, "documents"))
+
+
+@query("op11_survivor_coalescence", OP11_SQL)
+def op11(spark, sf_dir):
+    return repair.report(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_padded_trie", OP12_SQL)
+def op12(spark, sf_dir):
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_blocked_bloom", OP13_SQL)
+def op13(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.spam_list(pages))
