@@ -353,11 +353,6 @@ def _steer(spark, sf):
     return R.steer(cands, R.score_names(cands, R.estimate_lifts(rows)), 40)
 
 
-@query("results_burned_keys")
-def _burned(spark, sf):
-    return R.burned_keys(latest(spark, sf))
-
-
 @query("results_zero_trades", f"WITH {LOG} SELECT name FROM latest WHERE NOT ops_park AND trades = 0")
 def _zero(spark, sf):
     return R.zero_trade_names(eval_log(spark, sf))
