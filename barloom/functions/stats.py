@@ -141,11 +141,40 @@ def sharpe_from_sums(total: Column, squares: Column, count: Column) -> Column:
     return F.when((count < 2) | (sd <= 1e-12), flat).otherwise(mean / sd)
 
 
-def cscv_splits(spark, s: int) -> DataFrame:
-    """All in-sample halves of ``s`` blocks as (s, split, block) rows: bit masks with s/2 bits."""
-    masks = spark.range(2**s).where(F.bit_count("id") == s // 2).withColumnRenamed("id", "split")
-    rows = masks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(s - 1))))
-    return rows.where(F.expr("(shiftright(split, block) & 1) = 1")).select(F.lit(s).alias("s"), "split", "block")
+def halves(most: int) -> Column:
+    """C(s, s/2) of the column ``s``, for even s up to ``most``."""
+    return F.get(F.array(*[F.lit(math.comb(s, s // 2)).cast("long") for s in range(most + 1)]), F.col("s"))
+
+
+def half_mask(rank: Column, s: Column, binomials: Column) -> Column:
+    """The ``rank``-th of the C(s, s/2) halves of ``s`` blocks as a bit mask: the largest block first, by its binomial."""
+    def step(acc, i):
+        skip = F.get(F.get(binomials, i), acc["k"])
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), i)
+        taken = F.struct((acc["r"] - skip).alias("r"), (acc["k"] - 1).alias("k"), acc["m"].bitwiseOR(bit).alias("m"))
+        return F.when((acc["k"] > 0) & (acc["r"] >= skip), taken).otherwise(acc)
+
+    start = F.struct(rank.cast("long").alias("r"), (s / 2).cast("int").alias("k"), F.lit(0).cast("long").alias("m"))
+    return F.aggregate(F.sequence(s - 1, F.lit(0), F.lit(-1)), start, step, lambda acc: acc["m"])
+
+
+#: Splits that one task ranks together.
+SPLIT_CHUNK = 512
+
+
+def split_chunks(sizes: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """(keys, s, chunk): the first number of every run of ``SPLIT_CHUNK`` splits."""
+    first = F.sequence(F.lit(0).cast("long"), halves(most) - 1, F.lit(SPLIT_CHUNK).cast("long"))
+    return sizes.where("s > 0").select(*keys, "s", F.explode(first).alias("chunk"))
+
+
+def cscv_splits(sizes: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """(keys, s, chunk, split, mask) of every in-sample half, for (keys, s): made by number, hash-partitioned by (keys, chunk)."""
+    spread = split_chunks(sizes, keys, most).repartition(*keys, "chunk")
+    last = F.least(F.col("chunk") + SPLIT_CHUNK, halves(most)) - 1
+    one = spread.select(*keys, "s", "chunk", F.explode(F.sequence("chunk", last)).alias("split"))
+    table = F.array(*[F.array(*[F.lit(math.comb(i, k)).cast("long") for k in range(most // 2 + 1)]) for i in range(most + 1)])
+    return one.withColumn("mask", half_mask(F.col("split"), F.col("s"), table))
 
 
 def overfitting_probability(perf: DataFrame, keys: list[str]) -> DataFrame:
@@ -154,34 +183,36 @@ def overfitting_probability(perf: DataFrame, keys: list[str]) -> DataFrame:
     ``perf`` is (keys, block, ord, value), one row per block and config, with blocks 0, 1, ... of each key. All blocks of
     a key are used, but for the last one where their number is odd. Ties go to the lowest ``ord``. Undefined (null)
     with fewer than two configs; a key with one block has no split and no row.
+
+    Only C(s, s/2) halves are made, by unranking their numbers. A config travels as one row of block values a chunk of
+    splits, its half sums are plain arithmetic on the mask, and a split's configs already sit in one task when ranked.
     """
     perf = cut_lineage(perf)
     counts = perf.groupBy(*keys).agg((F.max("block") + 1).cast("int").alias("n")).select(*keys, (F.col("n") - F.col("n") % 2).alias("s"))
-    sizes = [r["s"] for r in counts.select("s").distinct().where("s > 0").collect()]  # a row per number of blocks
-    used = perf.join(counts, keys).where(F.col("block") < F.col("s"))
-    total = used.groupBy(*keys, "ord").agg(F.sum("value").alias("_t"), F.sum(F.col("value") ** 2).alias("_tt"))
-    splits = reduce(DataFrame.unionByName, [cscv_splits(perf.sparkSession, s) for s in sizes or [2]])
-    inside = (
-        used.join(splits, ["s", "block"])
-        .groupBy(*keys, "s", "split", "ord")
-        .agg(F.sum("value").alias("_i"), F.sum(F.col("value") ** 2).alias("_ii"))
-    )
-    half = (F.col("s") / 2).cast("double")
-    scored = inside.join(total, [*keys, "ord"]).select(
-        *keys, "split", "ord",
-        # Equal configs must tie whatever order their sums were taken in.
-        F.round(sharpe_from_sums(F.col("_i"), F.col("_ii"), half), 9).alias("ins"),
-        F.round(sharpe_from_sums(F.col("_t") - F.col("_i"), F.col("_tt") - F.col("_ii"), half), 9).alias("oos"),
+    most = max([r["s"] for r in counts.select("s").distinct().collect()], default=0)  # a row per number of blocks
+    cells = F.map_from_entries(F.collect_list(F.when(F.col("block") < F.col("s"), F.struct(F.col("block").cast("int"), F.coalesce("value", F.lit(0.0))))))
+    rows = perf.join(counts, keys).groupBy(*keys, "s", "ord").agg(cells.alias("_m"))
+    place = Window.partitionBy(*keys).orderBy("ord")
+    rows = rows.select(
+        *keys, "s", F.row_number().over(place).alias("place"),
+        F.transform(F.sequence(F.lit(0), F.lit(max(most, 1) - 1)), lambda b: F.coalesce(F.try_element_at("_m", b), F.lit(0.0))).alias("v"),
     )
-    w = Window.partitionBy(*keys, "split")
-    ranked = scored.select(
-        *keys, "split",
-        F.row_number().over(w.orderBy(F.desc("ins"), "ord")).alias("_best"),
-        F.row_number().over(w.orderBy("oos", "ord")).alias("_rank"),
-        F.count(F.lit(1)).over(w).alias("_n"),
-    ).where("_best = 1")
-    relative = F.col("_rank") / (F.col("_n") + 1.0)
-    return ranked.groupBy(*keys).agg(
-        F.when(F.max("_n") >= 2, F.avg((relative <= 0.5).cast("double"))).alias("pbo"),
+    total = lambda square: F.aggregate("v", F.lit(0.0), lambda acc, x: acc + (x * x if square else x))
+    rows = cut_lineage(rows.withColumns({"_t": total(False), "_tt": total(True)}))
+    splits = cscv_splits(counts, keys, most)
+    wide = rows.drop("s").join(split_chunks(counts, keys, most).drop("s"), keys)
+    bit = lambda b: F.expr(f"(shiftright(mask, {b}) & 1) = 1")
+    half = lambda square: reduce(lambda x, y: x + y, [F.when(bit(b), F.get("v", F.lit(b)) ** 2 if square else F.get("v", F.lit(b))).otherwise(0.0) for b in range(most)] or [F.lit(0.0)])
+    summed = splits.join(wide, [*keys, "chunk"]).select(*keys, "chunk", "split", "s", "place", "_t", "_tt", half(False).alias("_i"), half(True).alias("_ii"))
+    n = (F.col("s") / 2).cast("double")
+    # Equal configs must tie whatever order their sums were taken in.
+    ins = F.round(sharpe_from_sums(F.col("_i"), F.col("_ii"), n), 9)
+    oos = F.round(sharpe_from_sums(F.col("_t") - F.col("_i"), F.col("_tt") - F.col("_ii"), n), 9)
+    per = summed.groupBy(*keys, "chunk", "split").agg(F.collect_list(F.struct(ins.alias("ins"), (-F.col("place")).alias("n"), oos.alias("oos"))).alias("c"))
+    best = per.select(*keys, "c", F.array_max("c").alias("w"))
+    under = F.size(F.filter("c", lambda x: (x["oos"] < F.col("w")["oos"]) | ((x["oos"] == F.col("w")["oos"]) & (x["n"] >= F.col("w")["n"]))))
+    relative = under / (F.size("c") + 1.0)
+    return best.groupBy(*keys).agg(
+        F.when(F.max(F.size("c")) >= 2, F.avg((relative <= 0.5).cast("double"))).alias("pbo"),
         F.count(F.lit(1)).alias("splits"),
     )

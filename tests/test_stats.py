@@ -61,8 +61,33 @@ def test_overfitting_probability_takes_all_even_blocks(spark, blocks):
     assert got["splits"] == len(halves) and got["pbo"] == pytest.approx(low / len(halves))
 
 
-def test_cscv_counts(spark):
-    assert S.cscv_splits(spark, 6).select("split").distinct().count() == 20
+@pytest.mark.parametrize("s", [2, 4, 6, 12])
+def test_cscv_splits_are_all_halves(spark, s):
+    sizes = spark.createDataFrame([("a", s), ("b", 0)], "key string, s int")
+    got = [r.mask for r in S.cscv_splits(sizes, ["key"], s).collect()]
+    assert sorted(got) == [m for m in range(2**s) if m.bit_count() == s // 2]
+
+
+def test_cscv_of_twenty_blocks(spark):
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    v = rng.normal(0.01, 1, (6, 20))
+    rows = [("k", b, f"c{c}", float(v[c, b])) for c in range(6) for b in range(20)] + [("odd", b, f"c{c}", float(v[c, b])) for c in range(3) for b in range(5)]
+    got = {r.key: r for r in S.overfitting_probability(spark.createDataFrame(rows, "key string, block int, ord string, value double"), ["key"]).collect()}
+    inside = np.zeros((184_756, 20), bool)
+    inside[np.arange(len(inside))[:, None], np.array(list(itertools.combinations(range(20), 10)))] = True
+
+    def sharpe(mask):
+        t, tt = mask @ v.T, mask @ (v.T**2)
+        return np.round(t / 10 / np.sqrt((tt / 10 - (t / 10) ** 2) * 10 / 9), 9)
+
+    ins, oos = sharpe(inside.astype(float)), sharpe((~inside).astype(float))
+    win = oos[np.arange(len(oos)), ins.argmax(1)]
+    assert got["k"].splits == 184_756 and got["odd"].splits == 6
+    assert got["k"].pbo == pytest.approx(((oos <= win[:, None]).sum(1) / 7 <= 0.5).mean(), abs=1e-4)
 
 
 def test_t_quantile_and_sign_test():
