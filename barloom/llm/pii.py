@@ -7,8 +7,10 @@ over the counts of vote patterns (a bounded table) estimates each labeler's reli
 spans; a logistic span classifier is fitted to those soft labels, and candidates it scores at ``threshold`` or more are
 added unless they overlap a span of their kind. The classifier is a bounded lookup of vote patterns, so scoring needs no join.
 
-Null texts are empty and have no spans. Ties and repeated rows are judged alike. An empty table gives an empty result
-and no model. Input columns travel in a struct, so names cannot clash.
+Null texts are empty and have no spans. Ties and repeated rows are judged alike, and so are different texts of one id,
+row by row. Very long texts and texts of very many spans take time in proportion to their length (times its logarithm):
+patterns are possessive, ends and overlaps are array scans, and masked texts are joined from pieces. An empty table gives
+an empty result and no model. Input columns travel in a struct, so names cannot clash.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ WIDE = {
 }
 MAY = {"email": r"@|[\[(]at[\])]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]|[0-9]{3}\)?[\x20.-][0-9]{3}"}
 STRICT = {
-    "email": r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$|[\[(]at[\])].*[\[(]dot[\])]",
+    "email": r"^[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++(?<=\.[A-Za-z]{2,63})$|[\[(]at[\])].*[\[(]dot[\])]",
     "ip": r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$",
     "card": r"^[0-9]{4}([\x20-]?[0-9]{4}){3}$",
     "phone": r"^(\+[0-9]{1,3}[\x20.-]?)?\(?[0-9]{2,4}\)?([\x20.-][0-9]{2,4}){2,3}$",
@@ -70,31 +72,52 @@ def valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _votes(kind: str, m: Column, text: Column, start: Column, end: Column, ok: Column) -> Column:
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often a lambda inside reads it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def scan(values: Column, op, zero) -> Column:
+    """Running ``op`` of an array, in as many passes as its length has binary digits."""
+    steps = F.filter(F.transform(F.sequence(F.lit(0), F.lit(30)), lambda i: F.call_function("shiftleft", F.lit(1), i)), lambda k: k < F.size(values))
+    shifted = lambda a, k: F.concat(F.array_repeat(F.lit(zero), k), F.slice(a, 1, F.size(a) - k))
+    return F.aggregate(steps, values, lambda a, k: F.zip_with(a, shifted(a, k), lambda x, y: op(x, y)))
+
+
+def _votes(kind: str, m: Column, before: Column, after: Column, ok: Column) -> Column:
     """One letter a labeler: y, n or - (abstains). A failed check digit says little, as numbers are often mistyped."""
     said = lambda yes, no: F.when(yes, "y").when(no, "n").otherwise("-")
-    before = F.substring(text, F.greatest(start - 23, F.lit(1)), F.least(start, F.lit(24)))
-    left, right = F.substring(text, start, F.when(start > 0, 1).otherwise(0)), F.substring(text, end + 1, 1)
-    inside = left.rlike(r"[\p{L}\p{N}]") | right.rlike(r"[\p{L}\p{N}]")
+    inside = F.substring(before, -1, 1).rlike(r"[\p{L}\p{N}]") | F.substring(after, 1, 1).rlike(r"[\p{L}\p{N}]")
     strict = m.rlike(STRICT[kind])
     return F.concat(
         said(strict, ~strict), said(ok, F.lit(False) if kind == "card" else ~ok), said(m.rlike(GAZETTEER[kind]), F.lit(False)), said(before.rlike(CUES[kind]), F.lit(False)), said(~inside, inside)
     )
 
 
-def _spans(kind: str, text: Column, matches: Column, pieces: Column, base: bool) -> Column:
-    """Matches with their code-point spans; a base match is a span of its own only if it passes its check."""
-    zipped = F.transform(matches, lambda m, i: F.struct(m.alias("m"), F.length(F.get(pieces, i)).alias("gap")))
+def _spans(kind: str, matches: Column, pieces: Column, base: bool) -> Column:
+    """Matches with their code-point spans; a base match is a span of its own only if it passes its check.
+
+    ``pieces`` are the texts between the matches. Ends are running sums of both lengths, and a match's neighbourhood is
+    read from the pieces next to it, so no step goes back to the start of the text.
+    """
+    def placed(v):
+        steps = F.transform(v["m"], lambda m, i: F.length(m) + F.length(F.get(v["p"], i)))
+        return let(F.struct(v["m"].alias("m"), v["p"].alias("p"), let(steps, lambda n: scan(n, lambda x, y: x + y, 0)).alias("e")), spanned)
 
-    def add(acc, x):
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["m"])
-        ok = valid(kind, x["m"])
-        span = F.struct(start.alias("s"), end.alias("e"), (ok if base else F.lit(False)).alias("base"), _votes(kind, x["m"], text, start, end, ok).alias("votes"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def spanned(v):
+        near = lambda name, i: F.coalesce(F.get(v[name], i), F.lit(""))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    return F.aggregate(zipped, start, add, lambda a: a["out"])
+        def span(m, i):
+            end = F.get(v["e"], i)
+            before = F.concat(*[near(n, i - k) for k in (3, 2, 1) for n in "pm"], near("p", i))
+            after = F.concat(near("p", i + 1), near("m", i + 1))
+            ok = valid(kind, m)
+            votes = _votes(kind, m, F.substring(before, -24, 24), after, ok)
+            return F.struct((end - F.length(m)).alias("s"), end.alias("e"), (ok if base else F.lit(False)).alias("base"), votes.alias("votes"))
+
+        return F.transform(v["m"], span)
+
+    return let(F.struct(matches.alias("m"), pieces.alias("p")), placed)
 
 
 def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -109,7 +132,7 @@ def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 empty = F.array().cast("array<string>")
                 found.append(F.when(may, F.regexp_extract_all("text", F.lit(patterns[kind]), F.lit(0))).otherwise(empty).alias(f"{name}m"))
                 found.append(F.when(may, F.split("text", patterns[kind], -1)).otherwise(empty).alias(f"{name}p"))
-                one = _spans(kind, F.col("text"), F.col(f"{name}m"), F.col(f"{name}p"), base)
+                one = _spans(kind, F.col(f"{name}m"), F.col(f"{name}p"), base)
                 spans.setdefault(kind, []).append(F.when(F.size(f"{name}m") > 0, one).otherwise(F.array().cast(SPAN)))
     cut = rows.select("row", "text", *found)
     return cut.select("row", *[(F.concat(*s) if len(s) > 1 else s[0]).alias(k) for k, s in spans.items()])
@@ -175,9 +198,17 @@ def detect(docs: DataFrame, text_col: str = "text", threshold: float = 0.9, thin
     good = F.array(*[F.lit(p) for p in chosen]) if chosen else F.array().cast("array<string>")
 
     def kept(kind):
-        base = F.filter(kind, lambda x: x["base"])
-        more = F.filter(kind, lambda x: ~x["base"] & F.array_contains(good, F.concat(F.lit(kind + " "), x["votes"])) & ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-        return F.array_sort(F.transform(F.concat(base, more), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["base"].alias("base"))))
+        more = lambda x: ~x["base"] & F.array_contains(good, F.concat(F.lit(kind + " "), x["votes"]))
+        every = F.array_sort(F.transform(F.filter(kind, lambda x: x["base"] | more(x)), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["base"].alias("base"))))
+        return F.when(F.size(kind) > 0, let(every, alone)).otherwise(every)
+
+    def alone(every):
+        """Base spans, and added ones that neither an earlier base span reaches nor a later one starts in."""
+        ends = scan(F.transform(every, lambda x: F.when(x["base"], x["e"]).otherwise(0)), F.greatest, 0)
+        far = (1 << 31) - 1
+        starts = F.reverse(scan(F.reverse(F.transform(every, lambda x: F.when(x["base"], x["s"]).otherwise(far))), F.least, far))
+        return let(F.struct(every.alias("x"), ends.alias("e"), starts.alias("s")), lambda v: F.filter(
+            v["x"], lambda x, i: x["base"] | ((F.get(v["e"], i) <= x["s"]) & (F.get(v["s"], i) >= x["e"]))))
 
     return found.select("row", *[kept(k).alias(k) for k in KINDS])
 
@@ -197,18 +228,30 @@ def digest(docs: DataFrame) -> DataFrame:
     return spans.select("row.doc_id", *counts, F.sha2(listed(True).cast("binary"), 256).alias("base_sha256"), listed(False).alias("spans"))
 
 
+#: Code points of a piece of text from which spans are cut.
+PIECE = 1024
+
+
 def masked(docs: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
-    """``docs`` with every span replaced by its kind in angle brackets; of overlapping spans the first one counts."""
+    """``docs`` with every span replaced by its kind in angle brackets; overlapping spans become one, named by the first."""
     spans = detect(docs, text_col)
     every = F.array_sort(F.concat(*[_tagged(k) for k in KINDS]))
     text = F.col(f"row.{text_col}")
 
-    def step(acc, x):
-        out = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit("<"), x["kind"], F.lit(">"))
-        return F.when(x["s"] >= acc["at"], F.struct(x["e"].alias("at"), out.alias("out"))).otherwise(acc)
+    def cut(parts, a, b):
+        """Code points a to b, from the pieces that hold them."""
+        few = F.slice(parts, F.floor(a / PIECE).cast("int") + 1, (F.floor((b - 1) / PIECE) - F.floor(a / PIECE)).cast("int") + 1)
+        return F.when(b > a, F.substring(F.array_join(few, ""), a % PIECE + 1, b - a)).otherwise("")
+
+    def joined(v):
+        before = lambda i: F.coalesce(F.get(v["e"], i - 1), F.lit(0))
+        named = lambda x, i: F.concat(cut(v["t"], before(i), x["s"]), F.lit("<"), x["kind"], F.lit(">"))
+        heads = F.transform(v["x"], lambda x, i: F.when(x["s"] >= before(i), named(x, i)).otherwise(""))
+        return F.concat(F.array_join(heads, ""), cut(v["t"], F.element_at(v["e"], -1), v["n"]))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("every", start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    reach = let(F.transform("every", lambda x: x["e"]), lambda e: scan(e, F.greatest, 0))
+    parts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    clean = let(F.struct(F.col("every").alias("x"), reach.alias("e"), parts.alias("t"), F.length(text).alias("n")), joined)
     made = spans.withColumn("every", every).withColumn("clean", F.when(F.size("every") > 0, clean).otherwise(text))
     new = {text_col: F.col("clean")} | ({length_col: F.when(F.col("clean").isNotNull() & (F.size("every") > 0), F.length("clean").cast("long")).otherwise(F.col(f"row.{length_col}"))} if length_col else {})
     return made.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
