@@ -5,23 +5,21 @@ from __future__ import annotations
 import math
 import sys
 
-import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from barloom.operators import names as N
-from barloom.session import broadcast_if_small
+from barloom.session import broadcast_if_small, cut_lineage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Fixed values.
 BASE_GATES = ("trades", "profit", "sharpe", "baseline", "windows")
 ROBUST_GATES = ("holdout", "dsr", "pbo", "perturb", "cost")
-MIN_SUPPORT, PRIOR, RIDGE, MAX_RIDGE_ATOMS, EXPLORE_SHARE = 5, 5.0, 25.0, 4_000, 0.25
+MIN_SUPPORT, PRIOR, RIDGE, EXPLORE_SHARE = 5, 5.0, 25.0, 0.25
 BURNED_MIN_TESTED = 30
-SIGN_TEST_EXACT = 1_024  # pairs up to which the sign test is summed exactly
 
 
 # --- newest rows and counts -----------------------------------------------------
@@ -94,24 +92,26 @@ def overlay(index: DataFrame, rows: DataFrame, value: str) -> DataFrame:
 
 # --- gates ----------------------------------------------------------------------
 
+# Marks of a fail reason, each with its gate. A mark in START must begin the text, one in NAMED may stand
+# anywhere. The heaviest mark that is found decides: what a reason begins with tells most, a benchmark it names comes
+# next, and a bare P&L only counts where no benchmark is named.
+START = {
+    9: {"holdout": "holdout", "oos_trades": "trades", "oos_sharpe": "sharpe"},
+    7: {"dsr": "dsr", "pbo": "pbo"},
+    5: {"cost stress": "cost", "windows": "windows"},
+    3: {"bh": "bh_legacy"},
+    2: {"oos_pnl": "profit"},
+}
+NAMED = {8: {"sma_stack": "baseline"}, 6: {"neighbour": "perturb", "neighbor": "perturb"}, 4: {"b&h": "bh_legacy", "buy-and-hold": "bh_legacy", "buy_and_hold": "bh_legacy"}}
+
+
 def classify_reason(reason: Column) -> Column:
-    """Fail-reason text to a gate key."""
-    r = F.lower(F.trim(reason))
-    has = lambda x: r.contains(x)
-    return (
-        F.when(r.startswith("holdout"), "holdout")
-        .when(r.startswith("oos_trades"), "trades")
-        .when(r.startswith("oos_pnl") & ~has("sma_stack") & ~has("buy-and-hold"), "profit")
-        .when(r.startswith("oos_sharpe"), "sharpe")
-        .when(has("sma_stack"), "baseline")
-        .when(r.startswith("dsr"), "dsr")
-        .when(r.startswith("pbo"), "pbo")
-        .when(has("neighbour") | has("neighbor"), "perturb")
-        .when(r.startswith("cost stress"), "cost")
-        .when(r.startswith("windows"), "windows")
-        .when(has("b&h") | has("buy-and-hold") | has("buy_and_hold") | r.startswith("bh"), "bh_legacy")
-        .otherwise("ops")
-    )
+    """Fail-reason text to a gate key, "ops" where no mark is found."""
+    text = F.lower(F.trim(reason))
+    tests = [(w, text.startswith(m), key) for w, marks in START.items() for m, key in marks.items()]
+    tests += [(w, text.contains(m), key) for w, marks in NAMED.items() for m, key in marks.items()]
+    found = [F.when(test, F.struct(F.lit(w).alias("w"), F.lit(key).alias("key"))) for w, test, key in tests]
+    return F.coalesce(F.greatest(*found)["key"], F.lit("ops"))
 
 
 def failed_gates(reasons: Column) -> Column:
@@ -186,6 +186,7 @@ def block_report(rows: DataFrame) -> DataFrame:
     """Marginal effect of each block on newest rows: means with and without, pass rates,
     and the within-depth matched difference weighted by the smaller side."""
     fields = ("daily_sharpe", "sharpe", "trades")
+    rows = cut_lineage(rows)
     base = rows.withColumn("depth", F.size(N.atoms("name")))
     depth_of = base.select("name", "depth", "qualified", *fields)
     members = block_members(rows).join(depth_of, "name")
@@ -199,8 +200,8 @@ def block_report(rows: DataFrame) -> DataFrame:
     )
     ratio = lambda a, b: F.when(b > 0, F.round(a / b, 6))
     c = F.col
-    one = F.lit(1).alias("_one")
-    out = agg.select("*", one).join(totals.select("*", one), "_one").select(
+    known = totals.first().asDict()  # one row of sums
+    out = agg.withColumns({k: F.lit(v).cast(totals.schema[k].dataType) for k, v in known.items()}).select(
         "level", "block", "n_with", (c("t_n") - c("n_with")).alias("n_without"),
         *[ratio(c(f"w_{f}"), c(f"wc_{f}")).alias(f"mean_{f}_with") for f in fields],
         *[ratio(c(f"t_{f}") - c(f"w_{f}"), c(f"tc_{f}") - c(f"wc_{f}")).alias(f"mean_{f}_without") for f in fields],
@@ -234,17 +235,18 @@ def parent_pairs(rows: DataFrame) -> DataFrame:
 
 
 def _sign_test(positive: pd.Series, negative: pd.Series) -> pd.Series:
-    """Two-sided exact sign test on counts; runs on aggregated rows."""
+    """Two-sided exact sign test on counts, at every size: terms are summed down from the largest until they add nothing."""
     def one(pos, neg):
         n, k = int(pos + neg), int(min(pos, neg))
         if n <= 0:
             return None
-        if pos == neg:
-            return 1.0
-        if n > SIGN_TEST_EXACT:  # normal form with continuity correction
-            return min(1.0, math.erfc((n / 2 - k - 0.5) / math.sqrt(n / 2)))
-        logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2.0) for i in range(k + 1)]
-        return min(1.0, 2.0 * math.fsum(math.exp(v) for v in logs))
+        term = math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2.0))
+        total = 0.0
+        while k >= 0 and term > total * 1e-17:
+            total += term
+            term *= k / (n - k + 1)
+            k -= 1
+        return min(1.0, 2.0 * total)
 
     return pd.Series([one(p, q) for p, q in zip(positive, negative)], dtype="float64")
 
@@ -298,40 +300,50 @@ def shrunk(mean: Column, n: Column, prior: float = PRIOR) -> Column:
     return F.when(n > 0, n / (n + prior) * mean).otherwise(0.0)
 
 
-def ridge_coefficients(records: DataFrame, lam: float = RIDGE, width: int = MAX_RIDGE_ATOMS) -> DataFrame:
-    """Ridge of the target on atom indicators with a free intercept, over all atoms.
+#: Name of the free intercept among the atoms; no atom is empty.
+INTERCEPT = ""
+
+
+def normal_equations(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(gram(l, r, n), rhs(l, s)) of the target on atom indicators and an intercept, one row a pair of atoms that meet."""
+    lists = records.where("target IS NOT NULL").select("target", F.concat(F.array(F.lit(INTERCEPT)), F.array_distinct(N.atoms("name"))).alias("a"))
+    rhs = lists.select("target", F.explode("a").alias("l")).groupBy("l").agg(F.sum("target").alias("s"))
+    left = lists.select("a", F.explode("a").alias("l"))
+    gram = left.select("l", F.explode("a").alias("r")).groupBy("l", "r").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    return gram, rhs
 
-    The Gram matrix is aggregated by Spark from exploded atoms; only that
-    system is solved on the driver. No atom is dropped: more than ``width``
-    of them fail the call.
+
+def ridge_coefficients(records: DataFrame, lam: float = RIDGE, tolerance: float = 1e-10) -> DataFrame:
+    """(atom, coef): ridge of the target on atom indicators with a free intercept, over all atoms.
+
+    Preconditioned conjugate gradients. The counts of atom pairs are aggregated once; every step is one join of them with
+    the direction and one aggregate, written as a table whose four dot products are observed on the way. The driver holds
+    those four numbers, never a vector, so there is no bound on the number of atoms. Null targets and names without
+    records give no rows; fewer than two records give none at all.
     """
-    exploded = records.select("name", "target", F.explode(F.array_distinct(N.atoms("name"))).alias("atom"))
-    used = exploded.groupBy("atom").agg(F.count(F.lit(1)).alias("n"), F.sum("target").alias("s")).orderBy(F.desc("n"), "atom")
-    tot = records.agg(F.count(F.lit(1)).alias("n"), F.sum("target").alias("s"))
-    mine = exploded.groupBy("name").agg(F.array_sort(F.collect_list("atom")).alias("a"))
-    pairs = mine.select(F.explode(F.flatten(F.transform("a", lambda x: F.transform(F.filter("a", lambda y: y > x), lambda y: F.struct(x.alias("l"), y.alias("r")))))).alias("p"))
-    gram = pairs.groupBy("p.l", "p.r").agg(F.count(F.lit(1)).alias("n"))
-    cols = used.limit(width + 1).collect()
-    if len(cols) > width:
-        raise ValueError(f"more than {width} atoms: the normal equations do not fit the driver")
-    total = tot.first()
-    spark = records.sparkSession
-    if total["n"] < 2 or not cols:
-        return spark.createDataFrame([], "atom string, coef double")
-    at = {row["atom"]: k + 1 for k, row in enumerate(cols)}
-    m = np.zeros((len(at) + 1, len(at) + 1))
-    rhs = np.zeros(len(at) + 1)
-    m[0, 0], rhs[0] = total["n"], total["s"]
-    for row in cols:
-        k = at[row["atom"]]
-        m[0, k] = m[k, 0] = m[k, k] = row["n"]
-        rhs[k] = row["s"]
-    for row in gram.collect():
-        i, j = at[row["l"]], at[row["r"]]
-        m[i, j] = m[j, i] = row["n"]
-    m[np.arange(1, len(m)), np.arange(1, len(m))] += lam
-    beta = np.linalg.solve(m, rhs)
-    return spark.createDataFrame([(a, float(beta[k])) for a, k in at.items()], "atom string, coef double")
+    gram, rhs = (cut_lineage(x) for x in normal_equations(records))
+    size = gram.where((F.col("l") == INTERCEPT) & (F.col("r") == INTERCEPT)).agg(F.sum("n")).first()[0]
+    if not size or size < 2:
+        return rhs.select(F.col("l").alias("atom"), F.col("s").cast("double").alias("coef")).limit(0)
+    ridge = F.when(F.col("l") != INTERCEPT, lam).otherwise(0.0)
+    diagonal = gram.where("l = r").select("l", (F.col("n") + ridge).alias("d"))
+    b = F.col("s").cast("double")
+    state = rhs.join(diagonal, "l").select("l", "d", F.lit(0.0).alias("x"), b.alias("r"), (b / F.col("d")).alias("p"))
+    first = None
+    while True:
+        pushed = gram.join(state.select(F.col("l").alias("r"), F.col("p").alias("_p")), "r").groupBy("l").agg(F.sum(F.col("n") * F.col("_p")).alias("_q"))
+        full = state.join(pushed, "l").withColumn("q", F.col("_q") + ridge * F.col("p")).drop("_q")
+        seen = Observation()
+        dot = lambda x, y: F.sum(F.col(x) * F.col(y) / F.col("d"))
+        state = cut_lineage(full.observe(seen, F.sum(F.col("p") * F.col("q")).alias("pq"), dot("r", "r").alias("rr"), dot("r", "q").alias("rq"), dot("q", "q").alias("qq")))
+        got = seen.get
+        first = got["rr"] if first is None else first
+        if not got["pq"] or got["rr"] <= first * tolerance**2:
+            return state.where(F.col("l") != INTERCEPT).select(F.col("l").alias("atom"), F.col("x").alias("coef"))
+        step = got["rr"] / got["pq"]
+        left = max(0.0, got["rr"] - 2 * step * got["rq"] + step * step * got["qq"])
+        r = F.col("r") - step * F.col("q")
+        state = state.select("l", "d", (F.col("x") + step * F.col("p")).alias("x"), r.alias("r"), (r / F.col("d") + left / got["rr"] * F.col("p")).alias("p"))
 
 
 def estimate_lifts(rows: DataFrame) -> DataFrame:
@@ -394,28 +406,29 @@ def steer(candidates: DataFrame, scores: DataFrame, n: int, seed: int = 7063) ->
 
 # --- keys, candidates, order ----------------------------------------------------
 
-# What an atom's first word stands for, and which roles together give a key, the first that holds.
+# What an atom's first word stands for.
 ROLES = {"h4": "h4", "h1": "h1", "mom": "mom", "dip": "dip", "don": "struct", "near": "struct", "dbl": "struct"}
-FAMILY_OF = (("h4 mom", "h4"), ("h1 mom", "h1"), ("h4", "h4"), ("h1", "h1"), ("struct mom", "struct"), ("struct dip", "struct"))
-SPINE_OF = (("h4 mom", "h4"), ("h1", "h1"), ("h4", "h4"), ("struct", "struct"))
 
 
 def stack_keys(name: Column) -> Column:
-    """Family, spine and extra keys of a stack, from the roles its atoms play."""
+    """Family, spine and extra keys of a stack, from the roles its atoms play.
+
+    A higher frame leads before structure, the longer frame first, and structure leads only with an entry. The spine goes
+    the same way, but without momentum the shorter frame comes first.
+    """
     role_of = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
     played = F.filter(F.transform(N.atoms(name), lambda a: F.struct(F.try_element_at(role_of, F.substring_index(a, "_", 1)).alias("role"), a.alias("atom"))), lambda x: x["role"].isNotNull())
-    roles = F.transform(played, lambda x: x["role"])
-    all_of = lambda needs: F.size(F.array_except(F.array(*[F.lit(r) for r in needs.split()]), roles)) == 0
-    pick = lambda table: F.coalesce(*[F.when(all_of(needs), F.lit(out)) for needs, out in table])
-    entry = F.coalesce(*[F.when(F.array_contains(roles, r), F.lit(r)) for r in ("mom", "dip")], F.lit("flat"))
-    lead, spine = pick(FAMILY_OF), pick(SPINE_OF)
+    has = lambda role: F.exists(played, lambda x: x["role"] == role)
+    first = lambda *roles: F.coalesce(*[F.when(has(r), F.lit(r)) for r in roles])
+    entry = F.coalesce(first("mom", "dip"), F.lit("flat"))
+    backed = has("struct") & (entry != "flat")
+    lead = F.coalesce(first("h4", "h1"), F.when(backed, F.lit("struct")))
+    spine = F.when(entry == "mom", first("h4", "h1", "struct")).otherwise(first("h1", "h4", "struct"))
     atom = F.get(F.filter(played, lambda x: x["role"] == spine), F.lit(0))["atom"]
     head = F.when(spine == "struct", F.regexp_replace(atom, r"_\d+$", "")).when(spine.isNotNull(), N.near_duplicate_key(atom)).otherwise("plain")
     alone = F.when(entry == "flat", "other").otherwise(entry)
     crossed = lambda x: F.concat(x, F.lit("×"), entry)
-    extra = F.when(F.array_contains(roles, "struct") & (entry != "flat"), crossed(F.lit("struct")))
-    return F.array_distinct(F.array_compact(F.array(F.coalesce(crossed(lead), alone), crossed(head), extra)))
-
+    return F.array_distinct(F.array_compact(F.array(F.coalesce(crossed(lead), alone), crossed(head), F.when(backed, crossed(F.lit("struct"))))))
 
 
 def burned_keys(index: DataFrame) -> DataFrame:
@@ -461,8 +474,6 @@ def ranked(rows: DataFrame) -> DataFrame:
     order = [F.desc_nulls_last("daily_sharpe"), F.desc_nulls_last("sharpe"), F.desc_nulls_last("test_pnl"), F.asc("tested_at"), F.asc("name")]
     keyed = rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
     keyed = keyed.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    from barloom.session import cut_lineage
-
     held = cut_lineage(keyed)  # partition ids must not be drawn again
     counts = held.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     shift = counts.withColumn("_s", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

@@ -1,3 +1,3 @@
 """Importing this registers every query."""
 
-from queries import accounts, atoms, bars, books, combine, indicators, lots, names, portfolio, rules, stats, streams  # noqa: F401
+from queries import accounts, atoms, bars, books, combine, expressions, indicators, lots, names, portfolio, rules, stats, streams  # noqa: F401

@@ -340,10 +340,21 @@ def _top(spark, sf):
     return R.top_bottom(R.estimate_lifts(latest(spark, sf)), 5)
 
 
-@query("results_ridge")
+_RIDGE = f"""WITH RECURSIVE {LOG}, inc AS (SELECT name, test_pnl - bh_oos_pnl AS t, unnest(list_distinct(string_split(name, '&')) || ['']) AS atom FROM latest),
+pr AS (SELECT x.atom AS l, y.atom AS r, CAST(count(*) AS DOUBLE) + CASE WHEN x.atom = y.atom AND x.atom <> '' THEN 25 ELSE 0 END AS n FROM inc x JOIN inc y USING (name) GROUP BY 1, 2),
+al AS (SELECT DISTINCT atom FROM inc), sq AS (SELECT l.atom AS l, list(coalesce(n, 0) ORDER BY r.atom) AS w FROM al l JOIN al r ON TRUE LEFT JOIN pr ON pr.l = l.atom AND pr.r = r.atom GROUP BY 1),
+m AS (SELECT list(w ORDER BY l) AS a FROM sq), b AS (SELECT list(s ORDER BY atom) AS b, list(atom ORDER BY atom) AS atoms FROM (SELECT atom, sum(t) AS s FROM inc GROUP BY 1)),
+cg AS (SELECT 0 AS k, list_transform(b, lambda v: CAST(0 AS DOUBLE)) AS x, b AS r, b AS p, list_inner_product(b, b) AS rr FROM b UNION ALL
+  SELECT k + 1, x, r, list_transform(range(1, len(r) + 1), lambda i: r[i] + list_inner_product(r, r) / rr * p[i]), list_inner_product(r, r) FROM (
+    SELECT k, rr, p, list_transform(range(1, len(x) + 1), lambda i: x[i] + step * p[i]) AS x, list_transform(range(1, len(x) + 1), lambda i: r[i] - step * q[i]) AS r FROM (
+      SELECT *, rr / list_inner_product(p, q) AS step FROM (SELECT cg.*, list_transform(m.a, lambda w: list_inner_product(w, cg.p)) AS q FROM cg, m WHERE k < 300 AND rr > 1e-12)))),
+z AS (SELECT unnest(atoms) AS atom, unnest(x) AS v FROM b, (SELECT x FROM cg ORDER BY k DESC LIMIT 1)) SELECT atom, round(v, 4) AS coef FROM z WHERE atom <> ''"""
+
+
+@query("results_ridge", _RIDGE)
 def _ridge(spark, sf):
     rows = latest(spark, sf).select("name", (F.col("test_pnl") - F.col("bh_oos_pnl")).alias("target"))
-    return R.ridge_coefficients(rows)
+    return R.ridge_coefficients(rows).select("atom", F.round("coef", 4).alias("coef"))
 
 
 @query("results_steer_candidates")
