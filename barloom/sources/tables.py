@@ -62,3 +62,9 @@ def supplier_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars of every supplier: many shorter series."""
     lines = table(spark, sf_dir, "lineitem")
     return _from_lines(lines, F.col("l_suppkey").cast("string"))
+
+
+def part_days(spark: SparkSession, sf_dir: str, tickers: int = 1000) -> DataFrame:
+    """Daily bars of parts, dealt to ``tickers`` series that trade on few days each."""
+    lines = table(spark, sf_dir, "lineitem")
+    return _from_lines(lines, (F.col("l_partkey") % tickers).cast("string"))
