@@ -46,6 +46,11 @@ def lag(x: str, k: int = 1) -> str:
     return x if k == 0 else f"lag({x}, {int(k)}) OVER ({BY_DAY})"
 
 
+WINDOW = re.compile(r"OVER \(" + BY_DAY + r"(?: ROWS BETWEEN (\w+) PRECEDING AND [^)]*)?\)")
+LAG = re.compile(r"lag\((\w+), (\d+)\) OVER \(" + BY_DAY + r"\)")
+RUNNING_MEAN = re.compile(r"\((x\d+) - (x\d+)\) / (\d+)")
+
+
 @dataclass
 class Entry:
     name: str
@@ -97,6 +102,45 @@ class Sheet:
             groups.setdefault(e.level, []).append(e)
         return [groups[k] for k in sorted(groups)]
 
+    def lookback(self, column: str) -> int | None:
+        """Rows before a row that its value of ``column`` depends on, or None where it depends on the whole series.
+
+        Frames and lags add up along what an entry reads. The row number only guards the warm-up, which the frames cover
+        themselves. A running sum is open-ended, but the difference of it and of itself some rows ago is not. A
+        recurrence remembers everything.
+        """
+        reach: dict[str, int | None] = {}
+        totals: set[str] = set()
+        lags: dict[str, tuple[str, int]] = {}
+        for e in self.entries:
+            if e.fold is not None:
+                reach[e.name] = None
+                continue
+            if e.text.startswith("CAST(row_number()"):
+                reach[e.name] = 0
+                continue
+            own = [int(k) for _, k in LAG.findall(e.text)]
+            text = LAG.sub(r"\1", e.text)
+            frames = WINDOW.findall(text)
+            reads = [n for n in NAME.findall(text) if n != e.name]
+            if m := LAG.fullmatch(e.text):
+                lags[e.name] = (m[1], int(m[2]))
+            if len(frames) == 1 and frames[0] == "UNBOUNDED" and e.text.startswith("sum(") and all(reach[n] is not None for n in reads):
+                totals.add(e.name)
+                reach[e.name] = max((reach[n] for n in reads), default=0)
+                continue
+            far = [int(f) if f.isdigit() else None for f in frames]
+            mean = RUNNING_MEAN.search(text)
+            if mean and mean[1] in totals and lags.get(mean[2], (None, 0))[0] == mean[1]:
+                reach[e.name] = reach[mean[1]] + lags[mean[2]][1]
+                continue
+            open_ended = any(n in totals for n in reads) and e.name not in lags
+            if None in far or open_ended or any(reach[n] is None for n in reads):
+                reach[e.name] = None
+            else:
+                reach[e.name] = max((reach[n] for n in reads), default=0) + max([*far, *own, 0])
+        return reach.get(column, 0)
+
     def run(self, bars: DataFrame) -> DataFrame:
         """``bars`` with every entry as a column."""
         df = bars

@@ -7,9 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.operators import gates as G
 from barloom.operators import portfolio as P
 from barloom.operators.results import latest_per_name
-from barloom.session import broadcast_if_small
+from barloom.session import broadcast_if_small, cut_lineage
+from barloom.sources import store
 
 
 def open_lots_by_account(lots: DataFrame) -> DataFrame:
@@ -139,6 +141,29 @@ def lacks_revision(corrected: DataFrame, log: DataFrame) -> DataFrame:
     return corrected.join(latest_per_name(log).select("name", "revision"), ["name", "revision"], "left_anti")
 
 
+def requalified(log: DataFrame, taken: DataFrame, gate: str, expected: int, now: str) -> DataFrame:
+    """Newest failing rows that pass the floors on their stored figures, as rows to append: qualified, without reasons.
+
+    Parked rows, names that are taken, rows of another gate and rows without the attestation of the later checks stay as
+    they are. A name whose newest row passes is left alone, so a second run gives nothing.
+    """
+    order = ("tested_at", "seq", "epoch") if "epoch" in log.columns else ("tested_at", "seq")
+    newest = latest_per_name(log, order).where(~F.col("qualified") & ~F.col("ops_park") & (F.col("gate") == gate) & F.col("attested"))
+    fresh = newest.join(taken.select("name").distinct(), "name", "left_anti")
+    seen = G.decide(fresh.drop("reasons", "score"), expected).where("passed").drop("passed")
+    flipped = {"qualified": F.lit(True), "reasons": F.array().cast("array<string>"), "score": F.round("score", 2), "requalified_at": F.lit(now).cast("timestamp_ntz")}
+    return seen.withColumns(flipped).select(*[c for c in log.columns if c != "epoch"], *(["requalified_at"] if "requalified_at" not in log.columns else []))
+
+
+def merge_requalified(spark, path: str, taken: DataFrame, gate: str, expected: int, now: str, epoch: int) -> int:
+    """Append the flipped rows of a stored log as epoch ``epoch``; returns how many there were. A replay writes nothing new."""
+    flips = cut_lineage(requalified(store.read_log(spark, path), taken, gate, expected, now))
+    n = flips.count()
+    if n:
+        store.append_log(flips, path, epoch)
+    return n
+
+
 def requeue_candidates(log: DataFrame, gate: str) -> DataFrame:
     """Newest failing rows on ``gate`` whose every reason is a benchmark comparison and that ran no later check."""
     bench = F.forall("reasons", lambda r: F.lower(r).contains("sma_stack") | F.lower(r).contains("buy-and-hold"))

@@ -227,3 +227,11 @@ def price_ends(bars: DataFrame, by: list[str], at: str = "day") -> DataFrame:
         .where("_n >= 2")
         .drop("_n")
     )
+
+
+def year_drawdowns(levels: DataFrame, years: list[int], level: str = "equity") -> DataFrame:
+    """(symbol, config, year, days, ret, max_drawdown) of a daily level inside calendar years, each on its own."""
+    inside = Window.partitionBy(*KEYS, "year").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    rows = levels.withColumn("year", F.year("day")).where(F.col("year").isin(*years)).withColumn("_top", F.max(level).over(inside))
+    return rows.groupBy(*KEYS, "year").agg(
+        F.count(F.lit(1)).alias("days"), (F.max_by(level, "day") / F.min_by(level, "day") - 1).alias("ret"), F.max((F.col("_top") - F.col(level)) / F.col("_top")).alias("max_drawdown"))

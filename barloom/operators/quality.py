@@ -101,6 +101,58 @@ def quality_summary(rows: DataFrame, outages: DataFrame, tf: str) -> DataFrame:
     )
 
 
+#: Arrival numbers that one task orders.
+ARRIVAL_CHUNK = 1 << 16
+
+
+def arrival_pairs(rows: DataFrame, order: str = "arrival") -> DataFrame:
+    """(symbol, order, prev_ts, next_ts, high): each row with the row that arrived before it and the latest time seen so far.
+
+    Rows keep the order they came in, so a time may step back. Order and running maximum are taken inside (symbol, chunk
+    of arrivals); a table of one row per symbol and chunk hands each chunk the last and the highest time before it.
+    """
+    chunk = F.floor(F.col(order) / ARRIVAL_CHUNK).cast("long")
+    keyed = rows.select("symbol", F.col(order).alias("arrival"), "ts", chunk.alias("_chunk"))
+    edges = keyed.groupBy("symbol", "_chunk").agg(F.max_by("ts", "arrival").alias("_last"), F.max("ts").alias("_top"))
+    w = Window.partitionBy("symbol").orderBy("_chunk")
+    before = edges.select("symbol", "_chunk", F.lag("_last").over(w).alias("_before"), F.max("_top").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_high"))
+    inside = Window.partitionBy("symbol", "_chunk").orderBy("arrival")
+    seen = keyed.withColumn("_lag", F.lag("ts").over(inside)).withColumn("_max", F.max("ts").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    joined = seen.join(before, ["symbol", "_chunk"])
+    return joined.select(
+        "symbol", "arrival", F.coalesce("_lag", "_before").alias("prev_ts"), F.col("ts").alias("next_ts"), F.greatest("_max", "_high").alias("high")
+    ).where("prev_ts IS NOT NULL")
+
+
+def classify_arrivals(rows: DataFrame, outages: DataFrame, tf: str, order: str = "arrival") -> DataFrame:
+    """Every irregular step in arrival order: its class, the bars it lacks, and by how many seconds it lies behind the latest time.
+
+    A step back is non-monotonic, an equal time a duplicate; a longer step is a gap, known where one outage covers it.
+    """
+    delta = seconds_between("prev_ts", "next_ts")
+    odd = arrival_pairs(rows, order).where(delta != SECONDS[tf])
+    kind = (
+        F.when(delta < 0, "non_monotonic").when(delta == 0, "duplicate").when(delta < SECONDS[tf], "short_step")
+        .when(F.col("reason").isNotNull(), "known_gap").otherwise("gap")
+    )
+    behind = F.greatest(F.lit(0), F.expr("timestampdiff(SECOND, next_ts, high)"))
+    forward = delta > SECONDS[tf]
+    return known_outages(odd, outages, tf).select(
+        "symbol", "arrival", "prev_ts", "next_ts", F.when(forward, F.col("reason")).alias("reason"), kind.alias("kind"),
+        F.when(forward, missing_bars(delta, SECONDS[tf])).otherwise(0).alias("missing"), behind.alias("behind"),
+    )
+
+
+def arrival_summary(rows: DataFrame, outages: DataFrame, tf: str, order: str = "arrival") -> DataFrame:
+    """Counts of the classes per symbol; monotonic where no step goes back or stands still."""
+    kinds = ("gap", "known_gap", "duplicate", "non_monotonic")
+    steps = classify_arrivals(rows, outages, tf, order).groupBy("symbol").agg(
+        *[F.count_if(F.col("kind") == k).alias(k) for k in kinds], F.count_if(F.col("behind") > 0).alias("late"), F.max("behind").alias("most_behind"))
+    every = rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_ts"))
+    out = every.join(steps, "symbol", "left").fillna(0)
+    return out.withColumn("monotonic", (F.col("duplicate") == 0) & (F.col("non_monotonic") == 0))
+
+
 def bounds(rows: DataFrame) -> DataFrame:
     return rows.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")

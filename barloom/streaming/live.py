@@ -191,6 +191,11 @@ def live_results(closed: DataFrame) -> DataFrame:
     return agg.withColumn("status", status)
 
 
-def equity_snapshots(marks: DataFrame, note: str) -> DataFrame:
-    """Equity points as they arrive, ready for an append sink."""
-    return marks.select("ts", "equity", "baseline", F.lit(note).alias("note"))
+def equity_snapshots(marks: DataFrame, note: str, delay: str = "1 hour") -> DataFrame:
+    """One equity point per account and cycle, for an append sink.
+
+    A point that comes again within ``delay``, as after a replayed batch, is dropped; the state it takes ends with the
+    watermark.
+    """
+    timed = marks.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    return timed.select("account", "ts", "equity", "baseline", F.lit(note).alias("note")).dropDuplicatesWithinWatermark(["account", "ts"])

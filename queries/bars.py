@@ -172,8 +172,9 @@ def _outages(ticks):
     )
 
 
-_STEPS = f"""{bars_cte(3600)}, outages AS (SELECT CAST(d AS TIMESTAMP) AS s, CAST(d AS TIMESTAMP) + INTERVAL 12 HOUR AS e,
-  'maintenance ' || CAST(d AS VARCHAR) AS reason FROM (SELECT DISTINCT CAST(ts AS DATE) AS d FROM ticks) WHERE isodow(d) = 7),
+_OUTAGES = """outages AS (SELECT CAST(d AS TIMESTAMP) AS s, CAST(d AS TIMESTAMP) + INTERVAL 12 HOUR AS e,
+  'maintenance ' || CAST(d AS VARCHAR) AS reason FROM (SELECT DISTINCT CAST(ts AS DATE) AS d FROM ticks) WHERE isodow(d) = 7)"""
+_STEPS = f"""{bars_cte(3600)}, {_OUTAGES},
 g AS (SELECT * FROM (SELECT symbol, lag(ts) OVER (PARTITION BY symbol ORDER BY ts) AS prev_ts, ts AS next_ts FROM bars)
   WHERE prev_ts IS NOT NULL AND next_ts - prev_ts <> INTERVAL 1 HOUR),
 steps AS (SELECT g.symbol, prev_ts, next_ts, arg_min(o.reason, o.s) AS reason FROM g LEFT JOIN outages o
@@ -206,6 +207,36 @@ def _quality(spark, sf):
     return Q.quality_summary(B.bars_from_ticks(t, "1h"), _outages(t), "1h")
 
 
+_ARRIVED = f"""{TICKS}, {_OUTAGES},
+r AS (SELECT symbol, event_id AS arrival, date_trunc('hour', ts) AS ts FROM ticks),
+p AS (SELECT symbol, arrival, lag(ts) OVER w AS prev_ts, ts AS next_ts, max(ts) OVER (PARTITION BY symbol ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM r WINDOW w AS (PARTITION BY symbol ORDER BY arrival)),
+i AS (SELECT *, epoch(next_ts - prev_ts) AS d FROM p WHERE prev_ts IS NOT NULL AND next_ts - prev_ts <> INTERVAL 1 HOUR),
+cl AS (SELECT i.symbol, arrival, prev_ts, next_ts, d, high, CASE WHEN d > 3600 THEN arg_min(o.reason, o.s) END AS reason FROM i LEFT JOIN outages o ON prev_ts + INTERVAL 1 HOUR < o.e AND prev_ts + INTERVAL 2 HOUR > o.s
+  AND greatest(next_ts - INTERVAL 1 HOUR, prev_ts + INTERVAL 1 HOUR) < o.e AND greatest(next_ts - INTERVAL 1 HOUR, prev_ts + INTERVAL 1 HOUR) + INTERVAL 1 HOUR > o.s GROUP BY i.symbol, arrival, prev_ts, next_ts, d, high),
+ac AS (SELECT *, CASE WHEN d < 0 THEN 'non_monotonic' WHEN d = 0 THEN 'duplicate' WHEN d < 3600 THEN 'short_step' WHEN reason IS NOT NULL THEN 'known_gap' ELSE 'gap' END AS kind,
+  CAST(CASE WHEN d > 3600 THEN greatest(1, floor(d / 3600) - 1) ELSE 0 END AS BIGINT) AS missing, CAST(greatest(0, epoch(high - next_ts)) AS BIGINT) AS behind FROM cl)"""
+
+
+def _arrived(spark, sf):
+    t = tables.ticks(spark, sf)
+    return t.select("symbol", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts"), F.col("event_id").alias("arrival")), _outages(t)
+
+
+@query("bars_arrival_breaks", f"WITH {_ARRIVED} SELECT symbol, arrival, prev_ts, next_ts, reason, kind, missing, behind FROM ac")
+def _arrival_breaks(spark, sf):
+    return Q.classify_arrivals(*_arrived(spark, sf), "1h")
+
+
+@query(
+    "bars_arrival_summary",
+    f"""WITH {_ARRIVED} SELECT r.symbol, r.n, r.last_ts, count(*) FILTER (kind = 'gap') AS gap, count(*) FILTER (kind = 'known_gap') AS known_gap, count(*) FILTER (kind = 'duplicate') AS duplicate,
+  count(*) FILTER (kind = 'non_monotonic') AS non_monotonic, count(*) FILTER (behind > 0) AS late, max(behind) AS most_behind, count(*) FILTER (kind IN ('duplicate', 'non_monotonic')) = 0 AS monotonic
+FROM (SELECT symbol, count(*) AS n, max(ts) AS last_ts FROM r GROUP BY 1) r LEFT JOIN ac ON ac.symbol = r.symbol GROUP BY 1, 2, 3""",
+)
+def _arrival_summary(spark, sf):
+    return Q.arrival_summary(*_arrived(spark, sf), "1h")
+
+
 @query(
     "bars_coverage_ready",
     f"""WITH {bars_cte(3600)} SELECT symbol, min(ts) <= TIMESTAMP '2024-01-01 06:00:00' AND max(ts) >= TIMESTAMP '2024-01-30 00:00:00' AS ready

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from barloom.functions import atoms as A
 from barloom.operators import bars as B
 from barloom.operators import books as K
 from barloom.plans import library
@@ -57,6 +58,60 @@ def _range(spark, sf):
     return store.read_bars(spark, stored(spark, sf), "click", "2024-01-05", "2024-01-12")
 
 
+@query("store_compacted", f"{_STORED} SELECT symbol, ts, o, h, l, c, CASE WHEN minute(ts) = 30 THEN v + 5 ELSE v END AS v FROM bars")
+def _compacted(spark, sf):
+    """A compacted table, a corrected epoch on top, and a second compaction that takes it in."""
+    path = stored(spark, sf)
+    store.compact(spark, path)
+    fixed = store.read_bars(spark, path).where("minute(ts) = 30").withColumn("v", F.col("v") + 5)
+    store.write_epoch(fixed, path, 1001)
+    store.compact(spark, path)
+    return store.read_bars(spark, path)
+
+
+@query("store_compacted_range", f"{_STORED} SELECT * FROM bars WHERE symbol = 'click' AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-12'")
+def _compacted_range(spark, sf):
+    path = stored(spark, sf)
+    store.compact(spark, path)
+    return store.read_bars(spark, path, "click", "2024-01-05", "2024-01-12")
+
+
+_SLICE_NAMES = ["don_hi_20&mom_12b_gt1pc", "sma_abv_50"]
+
+
+@query(
+    "store_signal_slice",
+    f"""{_STORED}, x AS (SELECT *, row_number() OVER w AS t, max(h) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS top, lag(c, 12) OVER w AS back, avg(c) OVER (PARTITION BY symbol ORDER BY ts ROWS 49 PRECEDING) AS mean,
+  row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS r FROM bars WHERE symbol = 'click' WINDOW w AS (PARTITION BY symbol ORDER BY ts))
+SELECT ts, 'don_hi_20&mom_12b_gt1pc' AS config, c > top AND c / back - 1 > 0.01 AS signal FROM x WHERE r <= 200 UNION ALL SELECT ts, 'sma_abv_50', c > mean FROM x WHERE r <= 200""",
+)
+def _slice(spark, sf):
+    """Signals of the last 200 bars from a slice as long as the names look back; the rest of the history is not read."""
+    path = stored(spark, sf)
+    store.compact(spark, path)
+    rows = store.signal_slice(spark, path, "click", _SLICE_NAMES, 200)
+    flags = A.long_flags(rows.withColumnRenamed("ts", "day"), _SLICE_NAMES)
+    newest = flags.select("day").distinct().orderBy(F.desc("day")).limit(200)
+    return flags.join(newest, "day", "left_semi").select(F.col("day").alias("ts"), "config", "signal")
+
+
+@query(
+    "stream_equity_points",
+    """SELECT DISTINCT o_custkey % 50 AS account, CAST(o_orderdate AS TIMESTAMP) AS ts, arg_min(o_totalprice, o_orderkey) OVER (PARTITION BY o_custkey % 50, o_orderdate) AS equity, CAST(10000 AS DOUBLE) AS baseline, 'cycle' AS note FROM orders""",
+)
+def _equity(spark, sf):
+    """Equity points with every batch sent twice: the second time they add nothing."""
+    path = f"{shared_dir(spark)}/barloom/points-{uuid.uuid4().hex}"
+    o = tables.table(spark, sf, "orders")
+    first = o.groupBy((F.col("o_custkey") % 50).alias("account"), F.col("o_orderdate").cast("timestamp").alias("ts")).agg(F.min_by("o_totalprice", "o_orderkey").alias("equity"))
+    points = first.withColumn("baseline", F.lit(10_000.0))
+    for part in range(3):
+        for again in "ab":
+            points.where(F.pmod(F.xxhash64("account"), F.lit(3)) == part).coalesce(1).write.parquet(f"{path}/{part}{again}")
+    stream = spark.readStream.schema(points.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+    return live.drain(live.equity_snapshots(stream, "cycle", "10000 days"))
+
+
 @query("store_tail", f"{_STORED} SELECT * FROM bars WHERE symbol = 'click' ORDER BY ts DESC LIMIT 25")
 def _tail(spark, sf):
     return store.tail(spark, stored(spark, sf), "click", 25)
