@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
+from array import array
 from contextlib import contextmanager
 from functools import reduce
 
@@ -217,66 +219,135 @@ def encoder(path: str, pad: bytes = b"", memo_words: int = MEMO_WORDS):
 
 
 def made_encoder(path: str, pad: bytes = b"", memo_words: int = MEMO_WORDS):
+    """An ``Encoder`` of its own."""
+    return Encoder(path, pad, memo_words)
+
+
+class Encoder:
     """text -> ids as little-endian uint32 bytes, by the tokenizers library through a memo of space-separated chunks.
 
     Both public vocabularies split a text before a single space between two non-space characters, so a text's ids are
     the ids of its chunks, each with its leading space, one after the other. A text with any other white space next to
     a space is encoded whole. Latin words with marks behind them go to the library's merge model directly, any other
     chunk through its whole chain. Special-token strings in a text are ordinary text.
+
+    ``batch`` splits all texts of an Arrow batch and looks every distinct chunk up once. A chunk that comes again in a
+    later batch moves from the fresh to the known ones; each half is emptied when it is full, so memory is bounded and
+    chunks that come once do not push out those that come often.
     """
-    import re
-    import sys
-    from array import array
 
-    from tokenizers import Tokenizer
+    def __init__(self, path: str, pad: bytes, memo_words: int):
+        import re
+
+        from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    model, letters, folds = tok.model, byte_letters(), tok.normalizer is not None
-    odd = re.compile(r"\s\s")
+        self.tok = Tokenizer.from_file(path)
+        self.tok.encode_special_tokens = True
+        self.model, self.letters, self.folds = self.tok.model, byte_letters(), self.tok.normalizer is not None
+        self.pad, self.limit = pad, memo_words
+        self.adjoining = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}"
+        latin = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+        self.plain = re.compile(f"([{latin}]+)([{re.escape(MARKS)}]*)").fullmatch
+        self.known, self.fresh, self.ends = {}, {}, {}
+        self.line = self.whole("\n")
 
-    def packed(ids) -> bytes:
+    def packed(self, ids) -> bytes:
         made = array("I", ids)
         if sys.byteorder != "little":
             made.byteswap()
         return made.tobytes()
 
-    def whole(text: str) -> bytes:
-        return packed(tok.encode(text, add_special_tokens=False).ids)
+    def whole(self, text: str) -> bytes:
+        return self.packed(self.tok.encode(text, add_special_tokens=False).ids)
 
-    def merged(piece: str) -> bytes:
+    def merged(self, piece: str) -> bytes:
         if piece.isascii():
-            text = piece.replace(" ", letters[32])
+            text = piece.replace(" ", self.letters[32])
         else:
-            text = "".join(map(letters.__getitem__, piece.encode()))
-        return packed([t.id for t in model.tokenize(text)])
-
-    pieces = Memo(merged, memo_words)
-
-    def chunk(space: str):
-        lead = "" if folds else space
-
-        def ids(text: str) -> bytes:
-            word = text.rstrip(MARKS)
-            if word.isalpha() and max(word) < "\u0100":
-                low = word.lower() if folds else word
-                end = text[len(word):]
-                return pieces[lead + low] + (pieces[end] if end else b"")
-            return whole(space + text)
-
-        return ids
-
-    first, rest = Memo(chunk(""), memo_words // 10), Memo(chunk(" "), memo_words)
-
-    def encode(text: str | None) -> bytes:
-        if not text:
-            return pad
-        if odd.search(text):
-            return whole(text) + pad
-        head, *tail = text.split(" ")
-        return first[head] + b"".join(map(rest.__getitem__, tail)) + pad
-
-    return encode
+            text = "".join(map(self.letters.__getitem__, piece.encode()))
+        return self.packed([t.id for t in self.model.tokenize(text)])
+
+    def mark(self, end: str) -> bytes:
+        found = self.ends.get(end)
+        if found is None:
+            found = self.merged(end)
+            if len(self.ends) < 10_000 and len(end) < 16:
+                self.ends[end] = found
+        return found
+
+    def chunk(self, lead: str, text: str) -> bytes:
+        """Ids of a chunk behind ``lead``, a space or nothing. A line end between two other characters stands alone."""
+        m = self.plain(text)
+        if m is None:
+            if "\n" not in text:
+                return self.whole(lead + text) if lead or text else b""
+            first, *rest = text.split("\n")
+            return self.line.join([self.chunk(lead, first), *[self.chunk("", x) for x in rest]])
+        word, end = m.groups()
+        low = word.lower() if self.folds else word
+        key = low if self.folds or lead else (low,)
+        made = self.known.get(key) or self.fresh.get(key)
+        if made is None:
+            made = self.merged(low if self.folds else lead + low)
+            if len(low) <= 64:
+                self.fresh[key] = made
+        return made + self.mark(end) if end else made
+
+    def looked_up(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct chunks that stand behind a space."""
+        known, fresh, out = self.known, self.fresh, []
+        for w in words:
+            made = known.get(w)
+            if made is None:
+                made = fresh.pop(w, None)
+                if made is not None:
+                    known[w] = made
+                else:
+                    made = self.chunk(" ", w)
+                    if len(w) <= 64:
+                        fresh[w] = made
+            out.append(made)
+        return out
+
+    def batch(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, ids a text with its end) of a string array; a null is an empty text."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = pc.fill_null(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts, "")
+        alone = pc.match_substring_regex(texts, self.adjoining)
+        lists = pc.split_pattern(pc.if_else(alone, "", texts), " ")
+        at = lists.offsets.to_numpy()
+        at, heads = at - at[0], lists.flatten()
+        coded = heads.dictionary_encode()
+        if isinstance(coded, pa.ChunkedArray):
+            coded = coded.combine_chunks()
+        made = self.looked_up(coded.dictionary.to_pylist())
+        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        first = heads.take(pa.array(at[:-1])).to_pylist()
+        odd = alone.to_numpy(zero_copy_only=False)
+        for i in range(len(at) - 1):
+            codes[at[i]] = len(made)
+            made.append(self.whole(texts[i].as_py()) if odd[i] else self.chunk("", first[i]))
+        codes = np.insert(codes, at[1:], len(made))
+        made.append(self.pad)
+        sizes = np.fromiter(map(len, made), np.int64, len(made)) // 4
+        pool = np.frombuffer(b"".join(made), "<u4")
+        n = sizes[codes]
+        ends = np.cumsum(n)
+        place = np.repeat((np.cumsum(sizes) - sizes)[codes] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
+        starts = at[:-1] + np.arange(len(at) - 1)
+        counts = np.add.reduceat(n, starts) if len(starts) else np.empty(0, np.int64)
+        if len(self.known) > self.limit:
+            self.known.clear()
+        if len(self.fresh) > self.limit:
+            self.fresh.clear()
+        return pool[place], counts
+
+    def __call__(self, text: str | None) -> bytes:
+        import pyarrow as pa
+
+        return self.batch(pa.array([text], pa.string()))[0].tobytes()
 
 
 def groups_of(batches, key_cols: list[str]):

@@ -41,13 +41,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col="d
 
         encode, first, part = encoder(tokenizer, end), 0, TaskContext.get().partitionId()
         for batch in batches:
-            made = [encode(text) for text in batch.column(1).to_pylist()]
-            sizes = np.fromiter((len(x) // 4 for x in made), np.int64, len(made))
+            flat, sizes = encode.batch(batch.column(1))
             ends = np.cumsum(sizes)
-            flat = pa.array(np.frombuffer(b"".join(made), "<u4").astype(np.int32))
+            flat = pa.array(flat.astype(np.int32))
             ids = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), flat)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), ids, pa.array(first + ends - sizes), pa.array(np.full(len(made), part, np.int32))],
+                [batch.column(0), ids, pa.array(first + ends - sizes), pa.array(np.full(len(sizes), part, np.int32))],
                 names=["doc_id", "ids", "first", "part"],
             )
             first += int(ends[-1]) if len(ends) else 0

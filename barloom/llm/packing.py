@@ -37,9 +37,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id
                             ("ids", pa.binary()), ("part", pa.int32()), ("nth", pa.int64())])
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encode(text)
-                n = len(ids) // 4
+            flat, sizes = encode.batch(batch.column(1))
+            raw, at = memoryview(flat.tobytes()), 0
+            for doc, n in zip(batch.column(0).to_pylist(), sizes.tolist()):
+                ids, at = raw[4 * at : 4 * (at + n)], at + n
                 first = n if n <= capacity else n % capacity or capacity
                 start, piece = 0, 0
                 while start < n:
