@@ -141,6 +141,13 @@ def sharpe_from_sums(total: Column, squares: Column, count: Column) -> Column:
     return F.when((count < 2) | (sd <= 1e-12), flat).otherwise(mean / sd)
 
 
+def scaled_mean(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, mean): a mean whose sum cannot overflow, as values are divided by the group's largest size first."""
+    top = rows.groupBy(*keys).agg(F.max(F.abs(value)).alias("_s"))
+    share = F.when(F.col("_s") > 0, F.col(value) / F.col("_s")).otherwise(0.0)
+    return rows.where(F.col(value).isNotNull()).join(top, keys).groupBy(*keys, "_s").agg(F.avg(share).alias("_m")).select(*keys, (F.col("_s") * F.col("_m")).alias("mean"))
+
+
 def halves(most: int) -> Column:
     """C(s, s/2) of the column ``s``, for even s up to ``most``."""
     return F.get(F.array(*[F.lit(math.comb(s, s // 2)).cast("long") for s in range(most + 1)]), F.col("s"))

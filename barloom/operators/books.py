@@ -235,3 +235,36 @@ def year_drawdowns(levels: DataFrame, years: list[int], level: str = "equity") -
     rows = levels.withColumn("year", F.year("day")).where(F.col("year").isin(*years)).withColumn("_top", F.max(level).over(inside))
     return rows.groupBy(*KEYS, "year").agg(
         F.count(F.lit(1)).alias("days"), (F.max_by(level, "day") / F.min_by(level, "day") - 1).alias("ret"), F.max((F.col("_top") - F.col(level)) / F.col("_top")).alias("max_drawdown"))
+
+
+def hold_sampled(indexed: DataFrame, every: int, cash: float = START_CASH, fee: float = TAKER_FEE, slip: float = SLIPPAGE) -> DataFrame:
+    """(rn, equity): buy and hold of every symbol on its own ``cash``, sampled at every ``every``-th bar, sold at the last one.
+
+    ``indexed`` has symbol, rn (0-based), c. Symbols of one bar, or without a positive first and last close, are left out;
+    the series ends with the shortest of the others. The first point, at rn -1, is the cash.
+    """
+    ends = indexed.groupBy("symbol").agg(F.min_by("c", "rn").alias("_p"), F.max_by("c", "rn").alias("_e"), F.max("rn").alias("_m")).where("_m >= 1 AND _p > 0 AND _e > 0")
+    last = ends.agg(F.min("_m")).first()[0]  # one number
+    if last is None:
+        return indexed.select("rn", F.col("c").alias("equity")).limit(0)
+    held = ends.select("symbol", (F.lit(cash) / (F.col("_p") * (1 + slip) * (1 + fee))).alias("_q"))
+    sampled = indexed.where((F.col("rn") <= last) & ((F.col("rn") % every == every - 1) | (F.col("rn") == last))).join(broadcast_if_small(held), "symbol")
+    net = F.when(F.col("rn") == last, (1 - slip) * (1 - fee)).otherwise(1.0)
+    points = sampled.groupBy("rn").agg(F.sum(F.col("_q") * F.col("c") * net).alias("equity"))
+    start = ends.agg(F.lit(-1).cast("long").alias("rn"), (F.count(F.lit(1)) * cash).alias("equity"))
+    return start.unionByName(points.withColumn("rn", F.col("rn").cast("long")))
+
+
+def points_sharpe(points: DataFrame) -> DataFrame:
+    """One row: the annual Sharpe of a sampled equity curve, a row a day."""
+    rets = points.select((F.col("equity") / F.lag("equity").over(Window.orderBy("rn")) - 1).alias("ret"))
+    return rets.agg(F.count("ret").alias("n"), sharpe(F.col("ret")).alias("daily_sharpe"))
+
+
+def hold_marked(anchors: DataFrame, prices: DataFrame, cash: float = START_CASH, fee: float = TAKER_FEE, slip: float = SLIPPAGE) -> DataFrame:
+    """One row: equal shares of ``cash`` bought at the anchor prices with costs, marked at the newest ones.
+
+    Both frames are (symbol, price); a symbol counts where both prices are positive. Without any the equity is null.
+    """
+    both = anchors.join(prices.select("symbol", F.col("price").alias("_now")), "symbol").where("price > 0 AND _now > 0")
+    return both.agg(F.count(F.lit(1)).alias("symbols"), (F.sum(F.col("_now") / (F.col("price") * (1 + slip) * (1 + fee))) / F.count(F.lit(1)) * cash).alias("equity"))

@@ -62,6 +62,20 @@ def trial_census(log: DataFrame) -> DataFrame:
     )
 
 
+def retest_trials(census: DataFrame) -> DataFrame:
+    """Trials of a name that the census already holds; null where nothing was backtested, so that later checks fail closed."""
+    return census.select(F.when(F.col("n_backtested") >= 1, F.col("n_backtested")).alias("n_trials"))
+
+
+def pre_holdout(rows: DataFrame, gates: list[str], expected: int, sealed_from) -> DataFrame:
+    """Rows that may feed effect analytics: ran under one of ``gates`` over the expected windows, none of which reaches the
+    sealed span (``window_end``), not parked, and with at least one metric."""
+    measured = F.coalesce(*[F.col(c).cast("double") for c in ("daily_sharpe", "sharpe", "test_pnl")]).isNotNull()
+    counted = F.coalesce(F.col("n_windows") == expected, F.lit(True))
+    inside = F.coalesce(F.col("window_end") < F.lit(sealed_from).cast("timestamp_ntz"), F.lit(True))
+    return rows.where(~F.col("ops_park") & F.col("gate").isin(*gates) & counted & inside & measured)
+
+
 def keep_newest(log: DataFrame, cap: int) -> DataFrame:
     """Newest ``cap`` rows of an append-only log (a top-k report)."""
     return log.orderBy(F.desc("tested_at"), F.desc("seq")).limit(cap)
@@ -469,6 +483,17 @@ def leftovers(universe: DataFrame, log: DataFrame) -> DataFrame:
     return universe.join(tested_names(log), "name", "left_anti")
 
 
+def cycle_batch(universe: DataFrame, log: DataFrame, k: int, cursor: str | None = None) -> DataFrame:
+    """First ``k`` names (name, ord) never tested or failed, in their order from the cursor on, wrapping round.
+
+    A tested name is never queued again. An unknown or tested cursor leaves the order as it is.
+    """
+    fresh = leftovers(universe, log)
+    start = fresh.where(F.col("name") == F.lit(cursor)).agg(F.min("ord")).first()[0] if cursor else None
+    before = F.lit(False) if start is None else F.col("ord") < start
+    return fresh.orderBy(before, "ord").limit(k)
+
+
 def ranked(rows: DataFrame) -> DataFrame:
     """Rank 1..n by daily Sharpe, Sharpe, P&L, then age and name; range-partitioned, not one task."""
     order = [F.desc_nulls_last("daily_sharpe"), F.desc_nulls_last("sharpe"), F.desc_nulls_last("test_pnl"), F.asc("tested_at"), F.asc("name")]

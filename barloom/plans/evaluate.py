@@ -37,6 +37,12 @@ def span(sig: DataFrame, score_from: int, sealed_from: dt.date, sealed: bool) ->
     return sig.withColumn("scored", (F.col("t") >= score_from) & (F.col("day") >= F.lit(sealed_from)))
 
 
+def warmed(sig: DataFrame) -> DataFrame:
+    """Rows unchanged; a scored day on which a config is not defined yet fails the job."""
+    ok = F.assert_true(~F.col("scored") | F.coalesce("ready", F.lit(False)), F.concat(F.lit("scored before it is warm: "), F.col("config")))
+    return sig.where(ok.isNull())
+
+
 def span_books(sig: DataFrame, score_from: int, sealed_from: dt.date) -> DataFrame:
     """Base and stress books on the discovery and the sealed span, side by side per config."""
     out = None
@@ -54,7 +60,7 @@ def span_books(sig: DataFrame, score_from: int, sealed_from: dt.date) -> DataFra
 def evaluate(bars: DataFrame, keys: list[str], score_from: int, sealed_from: dt.date, n_trials: int | None = None) -> DataFrame:
     """One verdict row per (symbol, config) of the wanted rules."""
     spark = bars.sparkSession
-    sig = cut_lineage(K.with_bars(library.signals(bars, keys), bars, score_from))
+    sig = cut_lineage(warmed(K.with_bars(library.signals(bars, keys), bars, score_from)))
     grid = library.grid_frame(spark).where(F.col("rule").isin(*keys))
     rows = cut_lineage(span_books(sig, score_from, sealed_from))
     profit = F.forall(F.array(*[F.coalesce(F.col(f"{t}_pnl") > 0, F.lit(False)) for t in ("oos", "holdout", "stress_oos", "stress_holdout")]), lambda ok: ok)

@@ -66,6 +66,13 @@ def sma_stack(bars: DataFrame) -> DataFrame:
     )
 
 
+def score_index(sig: DataFrame) -> DataFrame:
+    """First scored row per series, as ``score_start``; a config that is undefined for good, or again later, fails the job."""
+    starts = score_start(sig)
+    fine = F.assert_true(F.col("unwarmed_configs") == 0, F.concat(F.lit("configs that are not defined throughout: "), F.col("symbol")))
+    return starts.where(fine.isNull())
+
+
 def score_start(sig: DataFrame) -> DataFrame:
     """First scored row per series: every config is ready on the row before and stays so."""
     per = sig.groupBy("symbol", "config").agg(

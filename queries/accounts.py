@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import functions as F
 
 from barloom.functions import atoms as A
 from barloom.operators import accounts as AC
 from barloom.operators import names as N
 from barloom.operators import sampling as SP
-from barloom.plans import evaluate as EV
 from barloom.sources import tables
 from barloom.sources.results import POOL, eval_log
 from queries.names import LOG, static_caps
@@ -124,10 +121,3 @@ def _reject(spark, sf):
     children = SP.swaps(taken, list(POOL[:-1])).select(F.col("child").alias("name")).distinct()
     out = SP.reject_reasons(children, taken, static_caps(spark, sf))
     return out.groupBy("reason").agg(F.count(F.lit(1)).alias("names"))
-
-
-@query("evaluate_rules")
-def _evaluate(spark, sf):
-    out = EV.evaluate(tables.flag_days(spark, sf), ["sma200", "turtle20", "rsi14"], 300, dt.date(2000, 3, 1))
-    return out.select("symbol", "config", "oos_trades", "holdout_trades", F.round("dsr", 6).alias("dsr"), F.round("pbo", 6).alias("pbo"),
-                      "neighbours", "neighbours_pass", F.array_join("failing_checks", ",").alias("failing"), "qualified")

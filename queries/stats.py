@@ -180,32 +180,76 @@ def _list(parts: list[tuple[str, str]]) -> str:
     return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN NOT coalesce({c}, FALSE) THEN '{k}' END" for k, c in parts) + "], lambda x: x IS NOT NULL), ',')"
 
 
+def _tagged(tag: str, cond: str, lim: str) -> str:
+    """Benchmark books without a stop, over ``bsig``."""
+    names = ["sig", "lagged", "sc", "ed", "isl", "held", "hits", "trades", "paths", "pt", "car", "curve", "rets", "per_day", "per_trade", "metrics"]
+    text = f"sig AS (SELECT symbol, config, day, o, h, l, c, signal, {cond} AS scored FROM bsig {lim}), " + book_sql(stop=0)
+    for n in names:
+        text = re.sub(rf"\b{n} AS \(", f"{tag}_{n} AS (", text)
+        text = re.sub(rf"\b(FROM|JOIN) {n}\b", rf"\1 {tag}_{n}", text)
+    return text
+
+
+def _full_verdict(rules: list[str]) -> str:
+    """CTE ``j``: every measure of the verdict, and ``v``: the failing checks by its definitions."""
+    grid = ", ".join(
+        f"('{library.variant_name(k, p)}', '{library.variant_name(k, q)}')" for k in rules for p in RULES[k].configs() for q in RULES[k].configs() if sum(p[x] != q[x] for x in p) == 1)
+    base = _V.replace(_sig_sql(_V_RULES, True).replace('sig AS (SELECT g.symbol', 'allsig AS (SELECT g.t, g.symbol'), _sig_sql(rules, True).replace('sig AS (SELECT g.symbol', 'allsig AS (SELECT g.t, g.symbol')).replace(_GRID_ROWS, grid)
+    sealed = f"DATE '{SEALED_FROM}'"
+    return f"""{base}, {_BLOCK.replace('FROM sc', 'FROM b_sc')}, {_MOM.replace('FROM rets', 'FROM b_rets')}, {_Z},
+dv AS (SELECT *, 1 - skew * sharpe + (kurtosis - 1) / 4 * sharpe * sharpe AS var FROM m, z), dz AS (SELECT *, (sharpe - sqrt(var / (n - 1)) * {_EMAX}) * sqrt(n - 1) / sqrt(var) AS zz FROM dv WHERE var > 0),
+ds AS (SELECT symbol, config, {norm_cdf_text("zz")} AS dsr FROM dz),
+opened AS (SELECT *, coalesce(lag(equity) OVER (PARTITION BY symbol, config ORDER BY day), 10000) AS opened FROM b_rets),
+perf AS (SELECT o.symbol, regexp_extract(config, '^lib\\.(\\w+)', 1) AS rule, config, block, 10000 * (arg_max(equity, day) / arg_min(opened, day) - 1) AS value
+  FROM opened o JOIN blocks b ON b.symbol = o.symbol AND day >= block_day AND day < block_end_day GROUP BY 1, 2, 3, 4),
+fd AS (SELECT symbol, config, count(DISTINCT block) AS nw FROM perf GROUP BY 1, 2), tl AS (SELECT symbol, count(*) AS ew FROM blocks GROUP BY 1),
+ns AS (SELECT symbol, rule, max(block) + 1 - (max(block) + 1) % 2 AS s FROM perf GROUP BY 1, 2), used AS (SELECT p.*, ns.s FROM perf p JOIN ns ON ns.symbol = p.symbol AND ns.rule = p.rule WHERE block < ns.s),
+tot AS (SELECT symbol, rule, config, sum(value) AS t, sum(value * value) AS tt FROM used GROUP BY 1, 2, 3), sz AS (SELECT DISTINCT s FROM ns WHERE s > 0), mk AS (SELECT s, unnest(range(CAST(2 ** s AS BIGINT))) AS split FROM sz),
+sp AS (SELECT * FROM (SELECT s, split, unnest(range(s)) AS block FROM mk) WHERE bit_count(split) = s // 2 AND (split >> block) & 1 = 1),
+ins AS (SELECT symbol, rule, config, s, split, sum(value) AS i, sum(value * value) AS ii FROM used JOIN sp USING (s, block) GROUP BY 1, 2, 3, 4, 5),
+scv AS (SELECT symbol, rule, config, split, round({_sharpe_sql('i', 'ii', '(s / 2.0)')}, 9) AS a, round({_sharpe_sql('(t - i)', '(tt - ii)', '(s / 2.0)')}, 9) AS z FROM ins JOIN tot USING (symbol, rule, config)),
+rk AS (SELECT symbol, rule, split, row_number() OVER (PARTITION BY symbol, rule, split ORDER BY a DESC, config) AS best, row_number() OVER (PARTITION BY symbol, rule, split ORDER BY z, config) AS rank, count(*) OVER (PARTITION BY symbol, rule, split) AS n FROM scv),
+pb AS (SELECT symbol, rule, CASE WHEN max(n) >= 2 THEN avg(CASE WHEN rank / (n + 1.0) <= 0.5 THEN 1.0 ELSE 0.0 END) END AS pbo FROM rk WHERE best = 1 GROUP BY 1, 2),
+num AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY day) - 1 AS t FROM bars),
+stk AS (SELECT *, CASE WHEN t >= 49 THEN coalesce(c > avg(c) OVER w7 AND avg(c) OVER w7 > avg(c) OVER w25 AND avg(c) OVER w25 > avg(c) OVER w50, FALSE) ELSE FALSE END AS signal FROM num
+  WINDOW w7 AS (PARTITION BY symbol ORDER BY day ROWS 6 PRECEDING), w25 AS (PARTITION BY symbol ORDER BY day ROWS 24 PRECEDING), w50 AS (PARTITION BY symbol ORDER BY day ROWS 49 PRECEDING)),
+bsig AS (SELECT symbol, 'sma' AS config, day, o, h, l, c, signal, t FROM stk UNION ALL SELECT symbol, 'bh', day, o, h, l, c, TRUE, t FROM stk),
+{_tagged('x', f"t >= 300 AND day < {sealed}", f"WHERE day < {sealed}")}, {_tagged('y', f"t >= 300 AND day >= {sealed}", "")},
+bench AS (SELECT x.symbol, max(x.pnl) FILTER (x.config = 'sma') AS sma, max(x.pnl) FILTER (x.config = 'bh') AS bh, max(y.pnl) FILTER (y.config = 'sma') AS smah, max(y.pnl) FILTER (y.config = 'bh') AS bhh
+  FROM x_metrics x JOIN y_metrics y USING (symbol, config) GROUP BY 1),
+j AS (SELECT r.*, coalesce(np, 0) AS np, coalesce(nn, 0) AS nn, sma, bh, smah, bhh, ds.dsr, pb.pbo, coalesce(fd.nw, 0) AS nw, tl.ew FROM r LEFT JOIN nb ON nb.symbol = r.symbol AND nb.config = r.config JOIN bench ON bench.symbol = r.symbol
+  LEFT JOIN ds ON ds.symbol = r.symbol AND ds.config = r.config LEFT JOIN pb ON pb.symbol = r.symbol AND pb.rule = regexp_extract(r.config, '^lib\\.(\\w+)', 1) LEFT JOIN fd ON fd.symbol = r.symbol AND fd.config = r.config LEFT JOIN tl ON tl.symbol = r.symbol),
+v AS (SELECT *, {_list([("windows", "nw = ew"), ("oos_trades", "oos_trades >= 8"), ("oos_pnl", "oos_pnl > 0"), ("holdout_pnl", "holdout_pnl > 0"), ("holdout_trades", "holdout_trades >= 2"), ("cost_stress", "stress_oos_pnl > 0 AND stress_holdout_pnl > 0")])} AS failing,
+{_list([("oos_sharpe", "oos_sharpe >= 0.3"), ("beat_sma_stack", "oos_pnl > sma"), ("holdout_sharpe", "holdout_sharpe >= 0.3"), ("holdout_beat_sma_stack", "holdout_pnl > smah"), ("dsr", "dsr >= 0.95"), ("pbo", "pbo <= 0.2"),
+  ("neighbours", "nn > 0 AND np / nn + 1e-12 >= 0.7"), ("buy_and_hold", "oos_pnl > bh AND holdout_pnl > bhh")])} AS warnings FROM j)"""
+
+
 @query(
     "gates_library_verdict",
-    f"""{_V}, bench AS (SELECT symbol, avg(oos_pnl) AS sma, min(oos_pnl) AS bh, avg(holdout_pnl) AS smah, min(holdout_pnl) AS bhh FROM r GROUP BY 1),
-j AS (SELECT r.*, coalesce(np, 0) AS np, coalesce(nn, 0) AS nn, sma, bh, smah, bhh FROM r
-  LEFT JOIN nb ON nb.symbol = r.symbol AND nb.config = r.config JOIN bench ON bench.symbol = r.symbol)
-SELECT symbol, config, {_list([("windows", "TRUE"), ("oos_trades", "oos_trades >= 8"), ("oos_pnl", "oos_pnl > 0"), ("holdout_pnl", "holdout_pnl > 0"),
-  ("holdout_trades", "holdout_trades >= 2"), ("cost_stress", "stress_oos_pnl > 0 AND stress_holdout_pnl > 0")])} AS failing_checks,
-{_list([("oos_sharpe", "oos_sharpe >= 0.3"), ("beat_sma_stack", "oos_pnl > sma"), ("holdout_sharpe", "holdout_sharpe >= 0.3"),
-  ("holdout_beat_sma_stack", "holdout_pnl > smah"), ("dsr", "FALSE"), ("pbo", "FALSE"), ("neighbours", "nn > 0 AND np / nn + 1e-12 >= 0.7"),
-  ("buy_and_hold", "oos_pnl > bh AND holdout_pnl > bhh")])} AS warning_checks,
-oos_trades >= 8 AND oos_pnl > 0 AND holdout_pnl > 0 AND holdout_trades >= 2 AND stress_oos_pnl > 0 AND stress_holdout_pnl > 0 AS qualified,
-NOT (oos_trades >= 8 AND holdout_trades >= 2) AND oos_pnl > 0 AND holdout_pnl > 0 AND stress_oos_pnl > 0 AND stress_holdout_pnl > 0 AS count_only FROM j""",
+    _full_verdict(_V_RULES) + """ SELECT symbol, config, failing AS failing_checks, warnings AS warning_checks, failing = '' AS qualified, failing <> '' AND failing IN ('oos_trades', 'holdout_trades', 'oos_trades,holdout_trades') AS count_only,
+  round(ln(1 + sma / 10000), 5) AS sma_growth, round(ln(1 + bhh / 10000), 5) AS bh_holdout_growth, CAST(nw AS INTEGER) AS n_windows, CAST(ew AS INTEGER) AS expected_windows FROM v""",
 )
 def _verdict(spark, sf):
-    rows = verdict_rows(spark, sf)
-    bench = rows.groupBy("symbol").agg(
-        F.avg("oos_pnl").alias("sma_oos_pnl"), F.min("oos_pnl").alias("bh_oos_pnl"),
-        F.avg("holdout_pnl").alias("sma_holdout_pnl"), F.min("holdout_pnl").alias("bh_holdout_pnl"),
-    )
-    none = F.lit(None).cast("double")
-    full = rows.join(bench, "symbol").select("*", F.lit(4).alias("n_windows"), F.lit(4).alias("expected_windows"), none.alias("dsr"), none.alias("pbo"))
-    out = G.library_verdict(full)
-    return out.select(
-        "symbol", "config", F.array_join("failing_checks", ",").alias("failing_checks"),
-        F.array_join("warning_checks", ",").alias("warning_checks"), "qualified", "count_only",
-    )
+    from barloom.sources import tables
+
+    growth = lambda c: F.round(F.log1p(F.col(c) / K.START_CASH), 5)
+    return EV.evaluate(tables.flag_days(spark, sf), _V_RULES, 300, SEALED_FROM).select(
+        "symbol", "config", F.array_join("failing_checks", ",").alias("failing_checks"), F.array_join("warning_checks", ",").alias("warning_checks"), "qualified", "count_only",
+        growth("sma_oos_pnl").alias("sma_growth"), growth("bh_holdout_pnl").alias("bh_holdout_growth"), "n_windows", "expected_windows")
+
+
+_E_RULES = ["sma200", "turtle20", "rsi14"]
+
+
+@query(
+    "evaluate_rules",
+    _full_verdict(_E_RULES) + """ SELECT symbol, config, oos_trades, holdout_trades, round(dsr, 6) AS dsr, round(pbo, 6) AS pbo, nn AS neighbours, np AS neighbours_pass, failing, failing = '' AS qualified FROM v""",
+)
+def _evaluate(spark, sf):
+    from barloom.sources import tables
+
+    return EV.evaluate(tables.flag_days(spark, sf), _E_RULES, 300, SEALED_FROM).select(
+        "symbol", "config", "oos_trades", "holdout_trades", F.round("dsr", 6).alias("dsr"), F.round("pbo", 6).alias("pbo"), "neighbours", "neighbours_pass", F.array_join("failing_checks", ",").alias("failing"), "qualified")
 
 
 @query(
