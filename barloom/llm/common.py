@@ -19,7 +19,9 @@ RANK_BUCKETS = 1024
 #: Rows an Arrow batch holds at most; documents can be very long.
 BATCH_ROWS = 256
 #: Entries of each half of a word memo.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 450_000
+#: Bytes of text that are encoded together, unless one batch holds more.
+TEXT_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -195,6 +197,7 @@ def shingle_set(h: np.ndarray, k: int) -> np.ndarray:
     return np.unique(windows_hash(h, min(k, len(h))))
 
 
+BIG_ENDIAN = sys.byteorder != "little"
 #: ASCII marks that end a word and form one token run with each other; the apostrophe is left to the library.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -253,7 +256,7 @@ class Encoder:
 
     def packed(self, ids) -> bytes:
         made = array("I", ids)
-        if sys.byteorder != "little":
+        if BIG_ENDIAN:
             made.byteswap()
         return made.tobytes()
 
@@ -262,7 +265,7 @@ class Encoder:
 
     def merged(self, piece: str) -> bytes:
         if piece.isascii():
-            text = piece.replace(" ", self.letters[32])
+            text = piece if piece[:1] != " " else self.letters[32] + piece[1:]
         else:
             text = "".join(map(self.letters.__getitem__, piece.encode()))
         return self.packed([t.id for t in self.model.tokenize(text)])
@@ -277,13 +280,15 @@ class Encoder:
 
     def chunk(self, lead: str, text: str) -> bytes:
         """Ids of a chunk behind ``lead``, a space or nothing. A line end between two other characters stands alone."""
-        m = self.plain(text)
-        if m is None:
+        if text.isalpha() and text.isascii():
+            word, end = text, ""
+        elif m := self.plain(text):
+            word, end = m.groups()
+        else:
             if "\n" not in text:
                 return self.whole(lead + text) if lead or text else b""
             first, *rest = text.split("\n")
             return self.line.join([self.chunk(lead, first), *[self.chunk("", x) for x in rest]])
-        word, end = m.groups()
         low = word.lower() if self.folds else word
         key = low if self.folds or lead else (low,)
         made = self.known.get(key) or self.fresh.get(key)
@@ -350,6 +355,22 @@ class Encoder:
         return self.batch(pa.array([text], pa.string()))[0].tobytes()
 
 
+def joined_batches(batches, column: int, bytes_: int = TEXT_BYTES):
+    """Arrow batches put together until a text column holds ``bytes_``; a larger batch stays as it is."""
+    import pyarrow as pa
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(column).nbytes
+        if size >= bytes_:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else held[0]
+            held, size = [], 0
+    if held:
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches()
+        yield whole[0] if whole else held[0]
+
+
 def groups_of(batches, key_cols: list[str]):
     """Yield (key, rows as a list of column lists) for sorted batches; a group may cross batches."""
     import pyarrow as pa

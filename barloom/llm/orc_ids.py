@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import encoder, small_batches
+from barloom.llm.common import encoder, joined_batches, small_batches
 from barloom.session import shared_dir
 
 LAYOUT = "doc_id long, ids array<int>, first long, part int"
@@ -40,7 +40,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col="d
         from pyspark import TaskContext
 
         encode, first, part = encoder(tokenizer, end), 0, TaskContext.get().partitionId()
-        for batch in batches:
+        for batch in joined_batches(batches, 1):
             flat, sizes = encode.batch(batch.column(1))
             ends = np.cumsum(sizes)
             flat = pa.array(flat.astype(np.int32))
