@@ -19,9 +19,9 @@ RANK_BUCKETS = 1024
 #: Rows an Arrow batch holds at most; documents can be very long.
 BATCH_ROWS = 256
 #: Entries of each half of a word memo.
-MEMO_WORDS = 450_000
+MEMO_WORDS = 150_000
 #: Bytes of text that are encoded together, unless one batch holds more.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -235,8 +235,8 @@ class Encoder:
     chunk through its whole chain. Special-token strings in a text are ordinary text.
 
     ``batch`` splits all texts of an Arrow batch and looks every distinct chunk up once. A chunk that comes again in a
-    later batch moves from the fresh to the known ones; each half is emptied when it is full, so memory is bounded and
-    chunks that come once do not push out those that come often.
+    later batch moves from the fresh to the known ones. When full, the fresh are emptied and of the known those of the last
+    batch stay, so memory is bounded and chunks that come once do not push out those that come often.
     """
 
     def __init__(self, path: str, pad: bytes, memo_words: int):
@@ -327,7 +327,8 @@ class Encoder:
         coded = heads.dictionary_encode()
         if isinstance(coded, pa.ChunkedArray):
             coded = coded.combine_chunks()
-        made = self.looked_up(coded.dictionary.to_pylist())
+        words = coded.dictionary.to_pylist()
+        made = self.looked_up(words)
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         first = heads.take(pa.array(at[:-1])).to_pylist()
         odd = alone.to_numpy(zero_copy_only=False)
@@ -344,7 +345,7 @@ class Encoder:
         starts = at[:-1] + np.arange(len(at) - 1)
         counts = np.add.reduceat(n, starts) if len(starts) else np.empty(0, np.int64)
         if len(self.known) > self.limit:
-            self.known.clear()
+            self.known = {w: self.known[w] for w in words if w in self.known}
         if len(self.fresh) > self.limit:
             self.fresh.clear()
         return pool[place], counts

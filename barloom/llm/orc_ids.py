@@ -21,6 +21,8 @@ from barloom.llm.common import encoder, joined_batches, small_batches
 from barloom.session import shared_dir
 
 LAYOUT = "doc_id long, ids array<int>, first long, part int"
+#: Words a worker keeps: this job holds little else.
+MEMO_WORDS = 300_000
 OPTIONS = {
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
@@ -30,8 +32,10 @@ OPTIONS = {
 }
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col="doc_id", text_col="text") -> None:
-    """Write the ids of every document, its end id behind them, in ascending doc_id order."""
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col="doc_id", text_col="text", memo_words: int = MEMO_WORDS) -> None:
+    """Write the ids of every document, its end id behind them, in ascending doc_id order.
+
+    ``memo_words`` bounds the words whose ids a Python worker keeps, and so its memory; the ids do not depend on it."""
     small_batches(docs.sparkSession)
     end = int(end_id).to_bytes(4, "little")
 
@@ -39,7 +43,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col="d
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encode, first, part = encoder(tokenizer, end), 0, TaskContext.get().partitionId()
+        encode, first, part = encoder(tokenizer, end, memo_words), 0, TaskContext.get().partitionId()
         for batch in joined_batches(batches, 1):
             flat, sizes = encode.batch(batch.column(1))
             ends = np.cumsum(sizes)
