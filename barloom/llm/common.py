@@ -19,9 +19,9 @@ RANK_BUCKETS = 1024
 #: Rows an Arrow batch holds at most; documents can be very long.
 BATCH_ROWS = 256
 #: Entries of each half of a word memo.
-MEMO_WORDS = 150_000
+MEMO_WORDS = 100_000
 #: Bytes of text that are encoded together, unless one batch holds more.
-TEXT_BYTES = 2 << 20
+TEXT_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -370,6 +370,7 @@ def joined_batches(batches, column: int, bytes_: int = TEXT_BYTES):
     if held:
         whole = pa.Table.from_batches(held).combine_chunks().to_batches()
         yield whole[0] if whole else held[0]
+    pa.default_memory_pool().release_unused()
 
 
 def groups_of(batches, key_cols: list[str]):
