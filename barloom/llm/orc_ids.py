@@ -21,8 +21,8 @@ from barloom.llm.common import encoder, joined_batches, small_batches
 from barloom.session import shared_dir
 
 LAYOUT = "doc_id long, ids array<int>, first long, part int"
-#: Words a worker keeps: this job holds little else.
-MEMO_WORDS = 300_000
+#: Words a worker keeps, and bytes of text it encodes at a time: this job holds little else.
+MEMO_WORDS, TEXT_BYTES = 300_000, 2 << 20
 OPTIONS = {
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
@@ -44,7 +44,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col="d
         from pyspark import TaskContext
 
         encode, first, part = encoder(tokenizer, end, memo_words), 0, TaskContext.get().partitionId()
-        for batch in joined_batches(batches, 1):
+        for batch in joined_batches(batches, 1, TEXT_BYTES):
             flat, sizes = encode.batch(batch.column(1))
             ends = np.cumsum(sizes)
             flat = pa.array(flat.astype(np.int32))
