@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import encoder, joined_batches, small_batches
+from barloom.llm.common import batch_encoder, joined_batches, small_batches
 from barloom.session import shared_dir
 
 LAYOUT = "doc_id long, ids array<int>, first long, part int"
@@ -43,7 +43,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col="d
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encode, first, part = encoder(tokenizer, end, memo_words), 0, TaskContext.get().partitionId()
+        encode, first, part = batch_encoder(tokenizer, end, memo_words), 0, TaskContext.get().partitionId()
         for batch in joined_batches(batches, 1, TEXT_BYTES):
             flat, sizes = encode.batch(batch.column(1))
             ends = np.cumsum(sizes)

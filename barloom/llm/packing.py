@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import MEMO_WORDS, encoder, joined_batches, small_batches, written
+from barloom.llm.common import MEMO_WORDS, encoder, small_batches, written
 
 PIECES = "doc_id long, piece int, start long, length int, ids binary, part int, nth long"
 
@@ -35,12 +35,11 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id
         encode, seen, part = encoder(tokenizer, end, memo_words), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()),
                             ("ids", pa.binary()), ("part", pa.int32()), ("nth", pa.int64())])
-        for batch in joined_batches(batches, 1):
+        for batch in batches:
             rows = []
-            flat, sizes = encode.batch(batch.column(1))
-            raw, at = memoryview(flat.tobytes()), 0
-            for doc, n in zip(batch.column(0).to_pylist(), sizes.tolist()):
-                ids, at = raw[4 * at : 4 * (at + n)], at + n
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids = encode(text)
+                n = len(ids) // 4
                 first = n if n <= capacity else n % capacity or capacity
                 start, piece = 0, 0
                 while start < n:

@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from barloom.llm import common, language, mixing, neardup, orc_ids, packing, passages, pii, quality, sharding, vectors
@@ -55,11 +56,13 @@ def test_encoder_is_the_library(name):
 
     tok = Tokenizer.from_file(vocabulary(name))
     tok.encode_special_tokens = True
-    encode, rng = common.encoder(vocabulary(name)), random.Random(3)
+    encode, batched, rng = common.encoder(vocabulary(name)), common.batch_encoder(vocabulary(name), b"", 500), random.Random(3)
     letters = list("abcXYZé ß  \n\t.,'’1234!?<|>σΣ́\x1c\x85 　日本 's") + [" "] * 10
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
     for text in [*texts, "<|endoftext|> a <|endoftext|>", "x" * 4000, " a", "a ", "don't we've"]:
-        assert encode(text) == np.asarray(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+        assert encode(text) == batched(text) == np.asarray(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+    flat, sizes = batched.batch(pa.chunked_array([pa.array([*texts[:400], None, ""]), pa.array(texts[400:800])]))
+    assert flat.tobytes() == b"".join(map(encode, texts[:800])) and sizes.sum() == len(flat) and list(sizes[400:402]) == [0, 0]
 
 
 def library_ids(name, text, end):
