@@ -10,7 +10,7 @@ from barloom.operators import combine as C
 from barloom.operators import names as N
 from barloom.operators import results as R
 from barloom.sources.results import eval_log
-from queries.names import _DEAD, _GROUPED, _STATIC, ATOMS, LOG, _period, latest, static_caps
+from queries.names import _BLOCK_SQL, _DEAD, _GROUPED, _STATIC, ATOMS, LOG, _period, latest, static_caps
 from queries.registry import query
 
 _SOFT = f"""CASE WHEN regexp_matches(atom, '^(h[14]_)?(sma|ema)(_abv|_stack)_[\\d_]+$') THEN regexp_extract(atom, '^(.*?_(?:abv|stack))_', 1) || '_' ||
@@ -87,3 +87,16 @@ def _around(spark, sf):
     seeds = R.ranked(rows.where("qualified")).select("name", F.col("rank").alias("ord"))
     swaps = C.family_swaps(N.atom_rows(log.select("name").distinct()))
     return C.first_allowed(seeds, swaps, log.select("name").distinct(), static_caps(spark, sf), R.burned_keys(rows), 100)
+
+
+@query(
+    "names_untested_candidates",
+    f"""WITH {_BLOCK_SQL}, near AS (SELECT name, array_to_string(list_sort(list({_SOFT})), '&') AS key FROM atoms GROUP BY 1), u AS (SELECT name, min(seq) AS ord FROM ev GROUP BY 1),
+tk AS (SELECT DISTINCT name FROM ev WHERE seq % 5 = 0), kk AS (SELECT DISTINCT key FROM near JOIN tk USING (name)),
+ok AS (SELECT u.name, u.ord, n.key FROM u JOIN near n USING (name) JOIN blocks b USING (name) WHERE b.reason IS NULL AND u.name NOT IN (SELECT name FROM tk) AND n.key NOT IN (SELECT key FROM kk))
+SELECT arg_min(name, ord) AS name, min(ord) AS ord FROM ok GROUP BY key""",
+)
+def _untested(spark, sf):
+    log = eval_log(spark, sf)
+    universe = log.groupBy("name").agg(F.min("seq").alias("ord"))
+    return N.untested(universe, log.where("seq % 5 = 0").select("name").distinct(), static_caps(spark, sf))

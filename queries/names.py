@@ -399,13 +399,6 @@ def _rotate(spark, sf):
     return R.rotate(R.tested_names(eval_log(spark, sf)), "mom_12b_gt3pc")
 
 
-@query("names_untested_candidates")
-def _untested(spark, sf):
-    log = eval_log(spark, sf)
-    universe = log.groupBy("name").agg(F.min("seq").alias("ord"))
-    return N.untested(universe, log.where("seq % 5 = 0").select("name").distinct(), static_caps(spark, sf))
-
-
 @query(
     "names_atom_stacks",
     f"""WITH {LOG}, {ATOMS}, m AS (SELECT DISTINCT atom FROM atoms WHERE family = 'mom'), a AS (SELECT DISTINCT atom FROM atoms WHERE ends_with(family, '_abv')), r AS (SELECT DISTINCT atom FROM atoms WHERE family = 'rsi')
