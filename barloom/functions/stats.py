@@ -27,6 +27,11 @@ PPF_FAR_NUM = (2.01033439929228813265e-7, 2.71155556874348757815e-5, 1.242660947
 PPF_FAR_DEN = (2.04426310338993978564e-15, 1.42151175831644588870e-7, 1.84631831751005468180e-5, 7.86869131145613259100e-4, 1.48753612908506148525e-2, 1.36929880922735805310e-1, 5.99832206555887937690e-1, 1.0)
 
 
+def log_growth(factor: Column) -> Column:
+    """Log of a growth factor: minus infinity where all is lost (Spark's own log gives null), null below that."""
+    return F.when(factor == 0, F.lit(float("-inf"))).otherwise(F.log(factor))
+
+
 def _poly_col(x: Column, terms) -> Column:
     out = F.lit(float(terms[0]))
     for k in terms[1:]:

@@ -61,10 +61,14 @@ metrics AS (SELECT d.symbol, d.config, final_equity, final_equity - 10000 AS pnl
   FROM per_day d LEFT JOIN per_trade t ON t.symbol = d.symbol AND t.config = d.config)"""
 
 
-def _cols() -> list[str]:
+# Spark's ln(0) is null, DuckDB's minus infinity: a book that lost all.
+LN = "CASE WHEN {0} = 0 THEN double('-Infinity') ELSE ln({0}) END"
+
+
+def _cols(ln: str = "ln({0})") -> list[str]:
     kinds = {"days", "trades", "exits_signal", "exits_safety_stop", "exits_window_end"}
     # Compounding over wild test prices spans 13 decades, so growth is compared as a log.
-    text = {"log_growth": "ln(final_equity / 10000)"}
+    text = {"log_growth": ln.format("final_equity / 10000")}
     return [
         f"CAST({m} AS BIGINT) AS {m}" if m in kinds else f"round(CAST({text.get(m, m)} AS DOUBLE), 5) AS {m}" for m in METRICS
     ]
@@ -88,7 +92,7 @@ def hourly_stack(spark, sf):
     """Ticks to hourly bars to a rule to a book: the minimum slice."""
     bars = B.bars_from_ticks(tables.ticks(spark, sf), "1h").withColumnRenamed("ts", "day")
     sig = K.with_bars(library.sma_stack(bars), bars, 50)
-    return K.run_books(sig, stop=0)[2].selectExpr("symbol", "config", *_cols())
+    return K.run_books(sig, stop=0)[2].selectExpr("symbol", "config", *_cols(LN))
 
 
 BOOK_RULES = ["sma200", "rsi2", "turtle20", "macd", "donchian55", "bb_break", "adx14", "tsmom90d", "engulf", "psar"]
@@ -107,7 +111,7 @@ FROM long g JOIN bars b ON b.symbol = g.symbol AND b.day = g.day)"""
 
 @query("books_rule_metrics", f"{_sig_sql()}, {book_sql()} SELECT symbol, config, {metrics_cols()} FROM metrics")
 def _rule_metrics(spark, sf):
-    return K.run_books(book_signals(spark, sf))[2].selectExpr("symbol", "config", *_cols())
+    return K.run_books(book_signals(spark, sf))[2].selectExpr("symbol", "config", *_cols(LN))
 
 
 @query(
@@ -116,7 +120,7 @@ def _rule_metrics(spark, sf):
 )
 def _stress(spark, sf):
     fee, slip = K.STRESS
-    return K.run_books(book_signals(spark, sf, ["golden_cross", "hi52"], True), fee, slip)[2].selectExpr("symbol", "config", *_cols())
+    return K.run_books(book_signals(spark, sf, ["golden_cross", "hi52"], True), fee, slip)[2].selectExpr("symbol", "config", *_cols(LN))
 
 
 @query(
@@ -128,7 +132,7 @@ def _trades(spark, sf):
     paths = K.cash_path(K.trades(book_signals(spark, sf, ["turtle20", "bb_revert"])))
     return paths.selectExpr(
         "symbol", "config", "entry_day", "round(entry_price, 4) AS entry_price", "exit_day", "round(exit_price, 4) AS exit_price",
-        "reason", "CAST(days AS BIGINT) AS days", "round(ln(cash_after / 10000), 6) AS log_cash", "round(pnl_pct, 6) AS pnl_pct",
+        "reason", "CAST(days AS BIGINT) AS days", f"round({LN.format('cash_after / 10000')}, 6) AS log_cash", "round(pnl_pct, 6) AS pnl_pct",
     )
 
 
@@ -141,7 +145,7 @@ def _bench(spark, sf):
     bars = tables.flag_days(spark, sf)
     stack = library.sma_stack(bars)
     held = stack.withColumn("signal", F.lit(True)).withColumn("config", F.lit("buy_and_hold"))
-    return K.run_books(K.with_bars(held, bars, 300), stop=0)[2].selectExpr("symbol", "config", *_cols())
+    return K.run_books(K.with_bars(held, bars, 300), stop=0)[2].selectExpr("symbol", "config", *_cols(LN))
 
 
 _BLOCK = """blocks AS (SELECT symbol, k AS block, d0 + CAST((span * k) // n AS INTEGER) AS block_day,
@@ -163,7 +167,7 @@ def _segment_pnl(spark, sf):
     sig = book_signals(spark, sf, ["sma200", "rsi14"])
     paths, curve, _ = K.run_books(sig)
     out = K.segment_metrics(curve, paths, day_blocks(sig))
-    return out.selectExpr("symbol", "config", "block", "round(ln(1 + block_pnl / 10000), 6) AS block_log_return", "block_trades")
+    return out.selectExpr("symbol", "config", "block", f"round({LN.format('(1 + block_pnl / 10000)')}, 6) AS block_log_return", "block_trades")
 
 
 @query(

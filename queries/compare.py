@@ -89,7 +89,7 @@ def _years(spark, sf):
     both = K.year_drawdowns(curve.select("symbol", "config", "day", "equity").unionByName(hold), _YEARS)
     bench = both.where("config = 'hold'").select("symbol", "year", F.col("ret").alias("_r"), F.col("max_drawdown").alias("_d"))
     rows = both.where("config <> 'hold'").join(bench, ["symbol", "year"])
-    growth = lambda c: F.round(F.log1p(c), 5)
+    growth = lambda c: F.round(S.log_growth(1 + F.col(c)), 5)
     return rows.select("symbol", "config", "year", growth("ret").alias("growth"), F.round("max_drawdown", 6).alias("max_drawdown"), growth("_r").alias("hold_growth"), F.round("_d", 6).alias("hold_drawdown"),
                        (F.col("max_drawdown") <= F.col("_d")).alias("calmer"))
 

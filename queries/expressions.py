@@ -113,7 +113,7 @@ def _gates(spark, sf):
   round(js, 6) AS joined_sharpe, round(jss, 6) AS stress_joined_sharpe, round(dd, 6) AS max_drawdown FROM g""",
 )
 def _sealed(spark, sf):
-    growth = lambda c: F.round(F.log(1 + F.col(c) / K.START_CASH), 6)
+    growth = lambda c: F.round(S.log_growth(1 + F.col(c) / K.START_CASH), 6)
     return _run(spark, sf).select(
         "symbol", "config", growth("sealed_pnl").alias("sealed_growth"), "sealed_trades", F.round("sealed_sharpe", 6).alias("sealed_sharpe"), growth("sma_sealed_pnl").alias("sma_sealed_growth"),
         F.round("base_joined_sharpe", 6).alias("joined_sharpe"), F.round("stress_joined_sharpe", 6).alias("stress_joined_sharpe"), F.round("max_drawdown", 6).alias("max_drawdown"))

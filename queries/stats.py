@@ -119,7 +119,7 @@ def _pbo(spark, sf):
     sig, paths, curve, _ = _rets(spark, sf, _PBO_RULES, True)
     seg = K.segment_metrics(curve, paths, day_blocks(sig))
     rule = F.regexp_extract("config", r"^lib\.(\w+)", 1)
-    perf = seg.select("symbol", rule.alias("rule"), "block", F.col("config").alias("ord"), F.log(1 + F.col("block_pnl") / K.START_CASH).alias("value"))
+    perf = seg.select("symbol", rule.alias("rule"), "block", F.col("config").alias("ord"), S.log_growth(1 + F.col("block_pnl") / K.START_CASH).alias("value"))
     return _round(S.overfitting_probability(perf, ["symbol", "rule"]), "pbo")
 
 
@@ -232,7 +232,7 @@ v AS (SELECT *, {_list([("windows", "nw = ew"), ("oos_trades", "oos_trades >= 8"
 def _verdict(spark, sf):
     from barloom.sources import tables
 
-    growth = lambda c: F.round(F.log1p(F.col(c) / K.START_CASH), 5)
+    growth = lambda c: F.round(S.log_growth(1 + F.col(c) / K.START_CASH), 5)
     return EV.evaluate(tables.flag_days(spark, sf), _V_RULES, 300, SEALED_FROM).select(
         "symbol", "config", F.array_join("failing_checks", ",").alias("failing_checks"), F.array_join("warning_checks", ",").alias("warning_checks"), "qualified", "count_only",
         growth("sma_oos_pnl").alias("sma_growth"), growth("bh_holdout_pnl").alias("bh_holdout_growth"), "n_windows", "expected_windows")

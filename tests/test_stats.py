@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from statistics import NormalDist
 
 import numpy as np
@@ -97,3 +98,17 @@ def test_t_quantile_and_sign_test():
     assert R.t_quantile_975(2) == pytest.approx(4.302652730, abs=1e-6)
     assert R._sign_test(pd.Series([8]), pd.Series([2]))[0] == pytest.approx(2 * 56 / 1024)
     assert R._sign_test(pd.Series([5]), pd.Series([5]))[0] == 1.0
+
+
+def test_log_of_a_lost_book(spark):
+    rows = spark.createDataFrame([(0, 1.0), (1, math.e), (2, 0.0), (3, -0.5)], "k int, f double")
+    got = [r.g for r in rows.select("k", S.log_growth(F.col("f")).alias("g")).orderBy("k").collect()]
+    assert got == [0.0, 1.0, -math.inf, None]
+
+
+def test_book_columns_keep_a_lost_book(spark):
+    from queries import books
+
+    lost = spark.createDataFrame([(0.0,)], "final_equity double")
+    text = next(c for c in books._cols(books.LN) if c.endswith("log_growth"))
+    assert lost.selectExpr(text).first()[0] == -math.inf
