@@ -155,8 +155,9 @@ def trade_metrics(trades: DataFrame, capital: float = 100_000.0) -> DataFrame:
 
 
 def nav(weights: DataFrame, returns: DataFrame) -> DataFrame:
-    """Daily portfolio return of the weights in force and the compounded value."""
+    """Daily portfolio return of the weights in force and the compounded value; a day that loses all ends it at zero."""
     day = weights.join(returns, ["date", "ticker"]).groupBy("date").agg(F.sum(F.col("weight") * F.col("ret")).alias("ret"))
     # One row per date: bounded by the calendar.
     w = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    return day.withColumn("nav", F.exp(F.sum(F.log1p("ret")).over(w)))
+    grown = F.when(F.col("ret") <= -1, F.lit(float("-inf"))).otherwise(F.log1p("ret"))
+    return day.withColumn("nav", F.exp(F.sum(grown).over(w)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from barloom.functions import stats as S
 from barloom.operators import calibration as C
 from barloom.operators import fundamentals as FN
 from barloom.operators import portfolio as P
@@ -236,7 +237,7 @@ SELECT date, round(ret, 6) AS ret, round(ln(exp(sum(ln(1 + ret)) OVER (ORDER BY
 def _nav(spark, sf):
     ret = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.col("c") / F.col("o") - 1))
     r = tables.supplier_days(spark, sf).select(F.col("symbol").alias("ticker"), F.col("day").alias("date"), ret.alias("ret"))
-    return P.nav(limited(spark, sf), r).select("date", F.round("ret", 6).alias("ret"), F.round(F.log("nav"), 5).alias("log_nav"))
+    return P.nav(limited(spark, sf), r).select("date", F.round("ret", 6).alias("ret"), F.round(S.log_growth(F.col("nav")), 5).alias("log_nav"))
 
 
 # --- fundamentals: suppliers as tickers, order lines as filings -------------------

@@ -7,6 +7,10 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from barloom.functions import stats as S
+from barloom.operators import portfolio as P
 from barloom.operators import rebalance as RB
 
 DAY = dt.date(2020, 1, 1)
@@ -85,3 +89,15 @@ def test_fund_against_a_book_of_holdings(spark):
     assert got[-1].benchmark_nav == pytest.approx(13_900.0)
     m = RB.fund_metrics(path, 10_000.0, "monthly").first()
     assert m.n_cycles == 40 and m.total_return == pytest.approx(want[-1][2] / 10_000 - 1) and m.excess_return == pytest.approx(m.total_return - 0.39)
+
+
+def test_nav_after_a_day_that_loses_all(spark):
+    import datetime as dt
+    import math
+
+    day = [dt.date(2020, 1, k) for k in range(1, 5)]
+    weights = spark.createDataFrame([(d, "a", 1.0) for d in day], "date date, ticker string, weight double")
+    returns = spark.createDataFrame([(d, "a", r) for d, r in zip(day, (0.5, -0.5, -1.0, 0.5))], "date date, ticker string, ret double")
+    got = P.nav(weights, returns).orderBy("date").select("nav", S.log_growth(F.col("nav")).alias("log_nav")).collect()
+    assert [r.nav for r in got] == pytest.approx([1.5, 0.75, 0.0, 0.0])
+    assert [r.log_nav for r in got[2:]] == [-math.inf, -math.inf]
