@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.session import broadcast_if_small
+from barloom.session import broadcast_if_small, cut_lineage
 
 FEE, SLIP = 0.001, 0.0002
 
@@ -18,25 +18,26 @@ def blend(signals: DataFrame, weights: DataFrame, gross: float = 1.0, neutral: b
     w = F.when(~F.coalesce(F.col("abstained"), F.lit(False)), F.col("weight"))
     total = F.sum(w)
     conviction = F.coalesce(F.when(total != 0, F.sum(w * F.col("value")) / total), F.lit(0.0))
-    per = s.groupBy("date", "ticker").agg(conviction.alias("conviction"))
+    # Read once for the means, once for the gross and once for the result.
+    per = cut_lineage(s.groupBy("date", "ticker").agg(conviction.alias("conviction")))
     # Means and gross per date come back by a join: a date may hold every ticker there is.
     scaled = per
     if neutral:
-        means = per.groupBy("date").agg(F.avg("conviction").alias("_m"))
+        means = cut_lineage(per.groupBy("date").agg(F.avg("conviction").alias("_m")))
         scaled = per.join(broadcast_if_small(means), "date").withColumn("_c", F.col("conviction") - F.col("_m")).drop("_m")
     else:
         scaled = per.withColumn("_c", F.col("conviction"))
-    sums = scaled.groupBy("date").agg(F.sum(F.abs("_c")).alias("_g"))
+    sums = cut_lineage(scaled.groupBy("date").agg(F.sum(F.abs("_c")).alias("_g")))
     return scaled.join(broadcast_if_small(sums), "date").select(
         "date", "ticker", "conviction", F.when(F.col("_g") < 1e-9, 0.0).otherwise(F.col("_c") / F.col("_g") * gross).alias("weight")
     )
 
 
 def apply_limits(weights: DataFrame, max_position: float, max_gross: float) -> DataFrame:
-    """Clamp each name, then scale the date down to the gross limit."""
+    """Clamp each name, then scale the date down to the gross limit. ``weights`` is read twice."""
     w = F.col("weight")
     clamped = weights.withColumn("_w", F.greatest(F.lit(-max_position), F.least(F.lit(max_position), w)))
-    gross = clamped.groupBy("date").agg(F.sum(F.abs("_w")).alias("_g"))
+    gross = cut_lineage(clamped.groupBy("date").agg(F.sum(F.abs("_w")).alias("_g")))
     scale = F.when(F.col("_g") > max_gross, max_gross / F.col("_g")).otherwise(1.0)
     return clamped.join(broadcast_if_small(gross), "date").select(
         "date", "ticker", F.col("weight").alias("before"), (F.col("_w") * scale).alias("weight"),

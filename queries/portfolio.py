@@ -9,6 +9,7 @@ from barloom.operators import calibration as C
 from barloom.operators import fundamentals as FN
 from barloom.operators import portfolio as P
 from barloom.operators import regime as RG
+from barloom.session import cut_lineage
 from barloom.sources import tables
 from oracle import sheet_sql
 from queries.registry import TICKS, query
@@ -81,8 +82,8 @@ sig AS (SELECT day AS date, symbol AS ticker, model, CAST(weight AS DOUBLE) AS w
   model = 'pead' AND CAST(symbol AS BIGINT) % 3 = 0 AS abstained FROM days, mods)"""
 
 
-def model_signals(spark, sf):
-    d = tables.supplier_days(spark, sf)
+def model_signals(spark, sf, days=None):
+    d = tables.supplier_days(spark, sf) if days is None else days
     v = {
         "value": (F.col("o") - F.col("c")) / F.greatest("o", "c"), "trend": (F.col("c") - F.col("l")) / F.greatest(F.col("h"), F.lit(1)) - 0.3,
         "pead": (F.col("h") - F.col("c")) / F.greatest(F.col("h"), F.lit(1)),
@@ -102,8 +103,8 @@ dm AS (SELECT *, conviction - avg(conviction) OVER (PARTITION BY date) AS x FROM
 bl AS (SELECT *, CASE WHEN sum(abs(x)) OVER (PARTITION BY date) < 1e-9 THEN 0 ELSE x / sum(abs(x)) OVER (PARTITION BY date) END AS weight FROM dm)"""
 
 
-def blended(spark, sf):
-    return P.blend(model_signals(spark, sf), model_weights(spark), 1.0, True)
+def blended(spark, sf, days=None):
+    return P.blend(model_signals(spark, sf, days), model_weights(spark), 1.0, True)
 
 
 @query("portfolio_blend", f"WITH {_BL} SELECT date, ticker, round(conviction, 6) AS conviction, round(weight, 6) AS weight FROM bl")
@@ -115,8 +116,8 @@ _LIM = f"""{_BL}, cl AS (SELECT *, greatest(CAST(-0.047 AS DOUBLE), least(CAST(0
 lim AS (SELECT date, ticker, weight AS before, w * CASE WHEN g > CAST(0.61 AS DOUBLE) THEN CAST(0.61 AS DOUBLE) / g ELSE 1 END AS weight, abs(weight) > CAST(0.047 AS DOUBLE) AS clamped, g > CAST(0.61 AS DOUBLE) AS scaled FROM gs)"""
 
 
-def limited(spark, sf):
-    return P.apply_limits(blended(spark, sf), 0.047, 0.61)
+def limited(spark, sf, days=None):
+    return P.apply_limits(blended(spark, sf, days), 0.047, 0.61)
 
 
 @query("portfolio_limits", f"WITH {_LIM} SELECT date, ticker, round(weight, 6) AS weight, clamped, scaled FROM lim")
@@ -134,9 +135,10 @@ ord AS (SELECT date, ticker, CASE WHEN want > have THEN 'buy' ELSE 'sell' END AS
 
 
 def orders(spark, sf):
-    days = tables.supplier_days(spark, sf).select(F.col("day").alias("date"), F.col("symbol").alias("ticker"), F.col("c").alias("mark"))
+    bars = cut_lineage(tables.supplier_days(spark, sf))
+    days = bars.select(F.col("day").alias("date"), F.col("symbol").alias("ticker"), F.col("c").alias("mark"))
     held = days.select("date", "ticker", (F.col("ticker").cast("long") % 7).alias("shares"))
-    return P.build_orders(limited(spark, sf).select("date", "ticker", "weight"), held, days, F.lit(1_000_000.0))
+    return P.build_orders(limited(spark, sf, bars).select("date", "ticker", "weight"), held, days, F.lit(1_000_000.0))
 
 
 @query("portfolio_orders", f"WITH {_ORD} SELECT date, ticker, side, quantity, round(price + 1.3e-9, 6) AS price FROM ord")
@@ -236,8 +238,9 @@ def _metrics(spark, sf):
 SELECT date, round(ret, 6) AS ret, round(ln(exp(sum(ln(1 + ret)) OVER (ORDER BY date))), 5) AS log_nav FROM d""")
 def _nav(spark, sf):
     ret = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.col("c") / F.col("o") - 1))
-    r = tables.supplier_days(spark, sf).select(F.col("symbol").alias("ticker"), F.col("day").alias("date"), ret.alias("ret"))
-    return P.nav(limited(spark, sf), r).select("date", F.round("ret", 6).alias("ret"), F.round(S.log_growth(F.col("nav")), 5).alias("log_nav"))
+    bars = cut_lineage(tables.supplier_days(spark, sf))
+    r = bars.select(F.col("symbol").alias("ticker"), F.col("day").alias("date"), ret.alias("ret"))
+    return P.nav(limited(spark, sf, bars), r).select("date", F.round("ret", 6).alias("ret"), F.round(S.log_growth(F.col("nav")), 5).alias("log_nav"))
 
 
 # --- fundamentals: suppliers as tickers, order lines as filings -------------------

@@ -101,3 +101,17 @@ def test_nav_after_a_day_that_loses_all(spark):
     got = P.nav(weights, returns).orderBy("date").select("nav", S.log_growth(F.col("nav")).alias("log_nav")).collect()
     assert [r.nav for r in got] == pytest.approx([1.5, 0.75, 0.0, 0.0])
     assert [r.log_nav for r in got[2:]] == [-math.inf, -math.inf]
+
+
+def test_blend_and_limits_read_their_signals_once(spark, tmp_path):
+    rows = [(DAY, f"t{k}", m, (k - 3) * v, False) for k in range(8) for m, v in (("a", 1.0), ("b", 0.5))]
+    spark.createDataFrame(rows, "date date, ticker string, model string, value double, abstained boolean").write.parquet(str(tmp_path / "signals"))
+    signals = spark.read.parquet(str(tmp_path / "signals"))
+    weights = spark.createDataFrame([("a", 2.0), ("b", 1.0)], "model string, weight double")
+    out = P.apply_limits(P.blend(signals, weights, 1.0, True), 0.2, 0.5)
+    assert not [f for f in out.inputFiles() if "/signals/" in f]
+    x = [(2 * (k - 3) + 0.5 * (k - 3)) / 3 for k in range(8)]
+    c = [v - sum(x) / 8 for v in x]
+    w = [max(-0.2, min(0.2, v / sum(map(abs, c)))) for v in c]
+    got = {r.ticker: r.weight for r in out.collect()}
+    assert [got[f"t{k}"] for k in range(8)] == pytest.approx([v * 0.5 / sum(map(abs, w)) for v in w])
