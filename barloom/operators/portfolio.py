@@ -56,8 +56,11 @@ def clamp_events(limited: DataFrame, max_position: float) -> DataFrame:
 
 def build_orders(targets: DataFrame, positions: DataFrame, marks: DataFrame, equity: Column) -> DataFrame:
     """Share deltas from truncated targets against the book; sells sort before buys."""
-    both = targets.join(positions, ["date", "ticker"], "full_outer").join(marks, ["date", "ticker"])
-    want = (F.coalesce("weight", F.lit(0.0)) * equity / F.col("mark")).cast("long")
+    # Marks lead, so all three are dealt by (date, ticker) once; only names with a target or a position are priced.
+    known = lambda df, flag: df.withColumn(flag, F.lit(True))
+    both = marks.join(known(targets, "_t"), ["date", "ticker"], "left").join(known(positions, "_p"), ["date", "ticker"], "left")
+    ours = F.coalesce("_t", "_p").isNotNull()
+    want = F.when(ours, F.coalesce("weight", F.lit(0.0)) * equity / F.col("mark")).cast("long")
     delta = want - F.coalesce("shares", F.lit(0))
     return both.withColumn("delta", delta).where("delta <> 0").select(
         "date", "ticker", F.when(F.col("delta") > 0, "buy").otherwise("sell").alias("side"), F.abs("delta").alias("quantity"), F.col("mark").alias("price"),

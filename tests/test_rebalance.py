@@ -115,3 +115,18 @@ def test_blend_and_limits_read_their_signals_once(spark, tmp_path):
     w = [max(-0.2, min(0.2, v / sum(map(abs, c)))) for v in c]
     got = {r.ticker: r.weight for r in out.collect()}
     assert [got[f"t{k}"] for k in range(8)] == pytest.approx([v * 0.5 / sum(map(abs, w)) for v in w])
+
+
+def test_orders_deal_each_side_once(spark):
+    targets = spark.createDataFrame([(DAY, "a", 0.5), (DAY, "b", 0.1), (DAY, "x", 0.1)], "date date, ticker string, weight double")
+    held = spark.createDataFrame([(DAY, "b", 10), (DAY, "c", 4)], "date date, ticker string, shares int")
+    # d has no target, no position and no price: it is not priced
+    marks = spark.createDataFrame([(DAY, "a", 10.0), (DAY, "b", 10.0), (DAY, "c", 10.0), (DAY, "d", 0.0)], "date date, ticker string, mark double")
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = P.build_orders(targets, held, marks, F.lit(1000.0))
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 3
+        assert sorted((r.ticker, r.side, r.quantity) for r in out.collect()) == [("a", "buy", 50), ("c", "sell", 4)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
