@@ -80,7 +80,8 @@ def signed_fills(orders: DataFrame, fee: float = FEE, slip: float = SLIP) -> Dat
 
 def positions_over_time(fills: DataFrame) -> DataFrame:
     """Position and cash spent per (account, ticker) after each date, one row per date."""
-    per = fills.groupBy("account", "ticker", "date").agg(F.sum("signed").alias("_q"), F.sum("cash_flow").alias("_c"))
+    # Dealt by the window's keys, which the groups can use as well.
+    per = fills.repartition("account", "ticker").groupBy("account", "ticker", "date").agg(F.sum("signed").alias("_q"), F.sum("cash_flow").alias("_c"))
     w = Window.partitionBy("account", "ticker").orderBy("date")
     return per.select("account", "ticker", "date", F.sum("_q").over(w).alias("shares"), F.sum("_c").over(w).alias("cash"))
 
