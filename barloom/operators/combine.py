@@ -84,8 +84,17 @@ def allowed(made: DataFrame, taken: DataFrame, caps: DataFrame, burned: DataFram
     return left.groupBy("key").agg(F.min(F.struct("rank", "name")).alias("m")).select("m.rank", "m.name", "key")
 
 
-def first_allowed(seeds: DataFrame, swaps: DataFrame, taken: DataFrame, caps: DataFrame, burned: DataFrame, n: int, block: int = 1 << 14) -> DataFrame:
-    """(place, rank, name): the first ``n`` allowed combinations; fewer only where the product is exhausted.
+def placed(found: DataFrame) -> DataFrame:
+    """(place, rank, name) of unique ranks; a window meets the finds of a stride of ranks or one count a stride."""
+    keyed = found.select("rank", "name", F.floor(F.col("rank") / F.lit(STRIDE)).alias("_b"))
+    sums = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("_b").orderBy("rank"))
+    return keyed.withColumn("_k", inside).join(sums.select("_b", before.alias("_s")), "_b").select((F.col("_k") + F.col("_s")).cast("int").alias("place"), "rank", "name")
+
+
+def first_allowed(seeds: DataFrame, swaps: DataFrame, taken: DataFrame, caps: DataFrame, burned: DataFrame, n: int | None, block: int = 1 << 14) -> DataFrame:
+    """(place, rank, name): the first ``n`` allowed combinations; fewer only where the product is exhausted. None: all of it.
 
     Blocks double, so a search that ends late takes few rounds. Each round's finds are a written table; the driver sees
     their count.
@@ -94,7 +103,7 @@ def first_allowed(seeds: DataFrame, swaps: DataFrame, taken: DataFrame, caps: Da
     every = int(stacks.agg(F.sum(F.col("total").cast(RANK))).first()[0] or 0)
     held = cut_lineage(taken.select("name", N.near_duplicate_key(F.col("name")).alias("key")).distinct())
     found, count, low = None, 0, 0
-    while low < every and count < n:
+    while low < every and (n is None or count < n):
         known = held if found is None else held.unionByName(found.select("name", "key"))
         new = cut_lineage(allowed(block_of(stacks, low, block), known, caps, burned))
         count += new.count()
@@ -102,5 +111,7 @@ def first_allowed(seeds: DataFrame, swaps: DataFrame, taken: DataFrame, caps: Da
         low, block = low + block, block * 2
     if found is None:
         found = held.select(F.lit(None).cast(RANK).alias("rank"), "name", "key").limit(0)
+    if n is None:
+        return placed(found).withColumn("rank", F.col("rank").cast("string"))
     top = found.orderBy("rank").limit(n)
     return top.select(F.row_number().over(Window.orderBy("rank")).alias("place"), F.col("rank").cast("string").alias("rank"), "name")

@@ -56,3 +56,22 @@ def test_an_exhausted_product(spark):
     assert C.first_allowed(seeds, empty, seeds.select("name"), caps, keys, 9).count() == 0
     assert C.first_allowed(none(spark, "name string, ord long"), empty, seeds.select("name"), caps, keys, 9).count() == 0
     assert C.family_swaps(N.atom_rows(spark.createDataFrame([("don_hi_2&don_hi_3",)], "name string"))).count() == 2
+
+
+def test_all_allowed_have_their_places(spark):
+    pools = [p[:k] for p, k in zip(POOLS, (95, 60))]
+    seeds = spark.createDataFrame([("&".join(p[0] for p in pools), 0)], "name string, ord long")
+    caps, keys = none(spark, "lookback int, cap double"), none(spark, "key string")
+    got = C.first_allowed(seeds, swaps_of(spark, pools), none(spark, "name string"), caps, keys, None, block=1000).collect()
+    some = C.first_allowed(seeds, swaps_of(spark, pools), none(spark, "name string"), caps, keys, 200).collect()
+    assert len(got) == 95 * 60 and {r.place for r in got} == set(range(1, 5701))
+    assert [int(r.rank) for r in sorted(got, key=lambda r: r.place)] == sorted(int(r.rank) for r in got)
+    assert {(r.place, r.rank, r.name) for r in some} == {(r.place, r.rank, r.name) for r in got if r.place <= 200}
+
+
+def test_query_keeps_the_hundred_of_its_sql(spark):
+    """More than 100 are allowed at this size; the SQL keeps those whose rank comes first as text."""
+    import __spark_entry__ as entry
+
+    got = entry.queries()["names_combinations_around_passing"](spark, "/root/testdata/sf0.01").collect()
+    assert len(got) == 100 and max(r.place for r in got) > 100
