@@ -365,7 +365,8 @@ def estimate_lifts(rows: DataFrame) -> DataFrame:
 
     ``rows`` is one row per name with test_pnl, bh_oos_pnl, sharpe, trades.
     """
-    base = rows.withColumn("excess", F.col("test_pnl") - F.col("bh_oos_pnl"))
+    # One row a name, read by six sides: written once, so the log behind it is grouped once.
+    base = cut_lineage(rows.select("name", "sharpe", "trades", (F.col("test_pnl") - F.col("bh_oos_pnl")).alias("excess")))
     pairs = parent_pairs(base)
     take = lambda p: base.select(F.col("name").alias(p), *[F.col(x).alias(f"{p}_{x}") for x in ("excess", "sharpe", "trades")])
     d = pairs.join(take("child"), "child").join(take("parent"), "parent")

@@ -62,3 +62,11 @@ def test_reason_keys(spark):
     }
     df = spark.createDataFrame([(k,) for k in want], "r string")
     assert {r.r: r.k for r in df.select("r", R.classify_reason(F.col("r")).alias("k")).collect()} == want
+
+
+def test_lifts_read_the_log_once(spark, tmp_path):
+    rows = [(n, p, 0.0, 0.5, 10) for n, p in (("mom_6b_gt2pc", 1.0), ("mom_6b_gt2pc&sma_abv_50", 3.0), ("sma_abv_50", 2.0))]
+    spark.createDataFrame(rows, "name string, test_pnl double, bh_oos_pnl double, sharpe double, trades long").write.parquet(str(tmp_path / "log"))
+    out = R.estimate_lifts(spark.read.parquet(str(tmp_path / "log")))
+    assert not [f for f in out.inputFiles() if "/log/" in f]
+    assert {r.atom: (r.name_count, r.support) for r in out.collect()} == {"mom_6b_gt2pc": (2, 1), "sma_abv_50": (2, 1)}
