@@ -394,7 +394,13 @@ def connors_rsi(s, price_n=3, streak_n=2, rank_n=100):
 
 
 def log_return(s):
-    return s.put(f"CASE WHEN c > 0 AND {lag('c')} > 0 THEN ln(c / {lag('c')}) END")
+    """Log of the last step. Estimates of equal windows tie up to rounding, so the log is the C library's (``sheet.clog``)."""
+    last = lag("c")
+    # A Python function's input is computed for all rows, so it must not divide by zero.
+    return s.put(
+        f"CASE WHEN c > 0 AND {last} > 0 THEN clog(c / nullif({last}, 0D)) END",
+        duck=f"CASE WHEN c > 0 AND {last} > 0 THEN ln(c / {last}) END",
+    )
 
 
 def realized_vol(s, n):

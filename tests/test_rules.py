@@ -52,3 +52,26 @@ def test_grid_and_neighbours(spark):
     bad = library.parse_variant(spark.createDataFrame([("lib.sma200.1_200",)], "config string"), grid).first()
     assert bad["rule"] is None
     assert library.manifest(grid).where("rule = 'macd'").first()["center_params"] == {"fast": 12, "slow": 26, "signal": 9}
+
+
+def test_log_returns_are_those_of_sql(spark):
+    """To the last bit: estimates of equal windows tie up to rounding, and the hampel rule compares them."""
+    import random
+
+    import duckdb
+
+    from barloom.functions import indicators
+    from barloom.functions.sheet import Sheet
+    from oracle import sheet_sql
+
+    rng = random.Random(5)
+    rows = [("a", dt.date(2000, 1, 1) + dt.timedelta(days=i), rng.choice([0.0, -1.0]) if i % 97 == 96 else rng.uniform(20, 90_000)) for i in range(2000)]
+    bars = spark.createDataFrame(rows, "symbol string, day date, c double")
+    s = Sheet()
+    r = indicators.log_return(s)
+    got = {x.day: x[r] for x in s.run(bars).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE given (symbol VARCHAR, day DATE, c DOUBLE)")
+    con.executemany("INSERT INTO given VALUES (?, ?, ?)", rows)
+    head, last = sheet_sql.with_clause(s, "SELECT * FROM given")
+    assert got == dict(con.execute(f"{head} SELECT day, {r} FROM {last}").fetchall())
