@@ -469,6 +469,35 @@ def test_stretches_match_all_pairs():
         assert set(passages.stretches(np.array(f), beside, 50, 80)) == want
 
 
+def test_texts_hashed_together_have_the_seeds_of_each_alone():
+    rng = random.Random(8)
+    texts = ["", "a", "a b c", "a b c d", "a b c d e", "z " * 500, "x y " * 300] + [" ".join(rng.choice("abcd") for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    raws = [t.encode() for t in texts]
+    text, h, pos, first = passages.text_seeds(raws, 4, 3)
+    at = 0
+    for i, raw in enumerate(raws):
+        alone = passages.text_seeds([raw], 4, 3)
+        n = len(alone[0])
+        assert (text[at : at + n] == i).all() and all((x[at : at + n] == y).all() for x, y in zip((h, pos, first), alone[1:]))
+        kmers = common.windows_hash(common.word_hashes(texts[i]), 4)
+        want = {int(a + kmers[a : a + 3].argmin()) for a in range(max(len(kmers) - 2, 1))} if len(kmers) else set()
+        assert set(alone[2].tolist()) == want
+        at += n
+    assert at == len(text)
+
+
+def test_common_words_match_the_table():
+    rng = random.Random(9)
+    for _ in range(300):
+        a, b = ([rng.randrange(rng.choice((3, 20))) for _ in range(rng.randint(0, 30))] for _ in range(2))
+        table = [[0] * (len(b) + 1)]
+        for x in a:
+            table.append([0])
+            for j, y in enumerate(b):
+                table[-1].append(max(table[-2][j + 1], table[-1][j], table[-2][j] + (x == y)))
+        assert passages.common_words(a, b) == table[-1][-1]
+
+
 def test_fenwick_chains_match_all_pairs():
     rng = random.Random(4)
     for _ in range(50):
