@@ -498,6 +498,14 @@ def test_common_words_match_the_table():
         assert passages.common_words(a, b) == table[-1][-1]
 
 
+def test_an_edit_next_to_an_end_of_a_short_passage():
+    none, of = np.empty(0, np.uint64), lambda *x: np.array(x, np.uint64)
+    f = np.array([[10, 58, 20]])
+    assert passages.stretches(f, [(none, none), (of(1, 2, 3, 4), of(9, 2, 8, 7))], 50, 80) == [(10, 60, 20, 70)]
+    assert passages.stretches(f, [(of(5, 2, 3), of(6, 2, 7)), (none, none)], 50, 80) == [(8, 58, 18, 68)]
+    assert passages.stretches(f, [(none, none), (of(1, 2, 3, 4), of(9, 8, 7, 6))], 50, 80) == []
+
+
 def test_fenwick_chains_match_all_pairs():
     rng = random.Random(4)
     for _ in range(50):
