@@ -486,6 +486,30 @@ def test_texts_hashed_together_have_the_seeds_of_each_alone():
     assert at == len(text)
 
 
+def test_shared_seeds_travel_in_few_rows(spark, monkeypatch):
+    rng = random.Random(17)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 60))) for _ in range(400)] + ["z " * 300] * 2
+    docs = [rng.randrange(-5, 10**6) for _ in texts]
+    docs[7] = docs[6]
+    each = [(d, *row) for d, t in zip(docs, texts) for row in zip(*(x.tolist() for x in passages.placed_seeds([t.encode()], 4, 3)[1:]))]
+    of = collections.defaultdict(list)
+    for d, h, at in each:
+        of[h].append((d, at))
+    signed = lambda h: h - (1 << 64) * (h >> 63)
+    want = sorted((d, signed(h), at, *min(of[h])) for d, h, at in each if len({x for x, _ in of[h]}) > 1)
+    frame = spark.createDataFrame(list(zip(docs, texts)), "doc long, text string").repartition(2)
+    assert passages.seeds(frame, 4, 3, 64).count() <= 2 * 64 < len(each) / 20
+    assert sorted(map(tuple, passages.shared_seeds(frame, 4, 3).collect())) == want
+    # A bucket that is too large for memory waits in a file; rows of a bucket come in several parts.
+    monkeypatch.setattr(passages, "ROW_SEEDS", 50)
+    doc, h, pos = (np.array(x, t) for x, t in zip(zip(*each), (np.int64, np.uint64, np.int32)))
+    dealt = [b for i in range(0, len(h), 999) for b in passages.dealt_seeds(doc[i : i + 999], h[i : i + 999], pos[i : i + 999], 3)]
+    whole = pa.Table.from_batches(dealt).sort_by("bucket")
+    for held in (1 << 21, 700, 1):
+        monkeypatch.setattr(passages, "HELD", held)
+        assert sorted(tuple(r.values()) for b in passages.find_shared(whole.to_batches(max_chunksize=7)) for r in b.to_pylist()) == want
+
+
 def test_common_words_match_the_table():
     rng = random.Random(9)
     for _ in range(300):
