@@ -510,6 +510,35 @@ def test_shared_seeds_travel_in_few_rows(spark, monkeypatch):
         assert sorted(tuple(r.values()) for b in passages.find_shared(whole.to_batches(max_chunksize=7)) for r in b.to_pylist()) == want
 
 
+def test_runs_and_documents_come_together_in_tasks(monkeypatch):
+    rng = random.Random(6)
+    for held in (1, 6, 10**6):
+        monkeypatch.setattr(passages, "WHOLE_ROWS", held)
+        for _ in range(60):
+            rows = sorted(((rng.randrange(8), rng.randrange(300)) for _ in range(rng.randint(0, 60))), key=lambda x: x[0])
+            batches = pa.table({"doc": pa.array([x for x, _ in rows], pa.int64()), "pos": pa.array([x for _, x in rows], pa.int32())}).to_batches(max_chunksize=rng.randint(1, 9))
+            parts = list(passages.whole_documents(batches, ("doc", "pos")))
+            assert [tuple(x) for part in parts for x in zip(*(c.tolist() for c in part))] == rows
+            assert sum(len(set(part[0].tolist())) for part in parts) == len({d for d, _ in rows})
+            want = []
+            for doc in {d for d, _ in rows}:
+                runs = []
+                for at in sorted(p for d, p in rows if d == doc):
+                    if runs and at - runs[-1][1] <= 7:
+                        runs[-1][1] = at
+                    else:
+                        runs.append([at, at])
+                want += [(doc, max(a - 7, 0), z + 11) for a, z in runs if z + 11 - max(a - 7, 0) >= 20]
+            assert sorted(tuple(x.values()) for b in passages.find_runs(7, 4, 20)(batches) for x in b.to_pylist()) == sorted(want)
+    for n in (1, 2, 3, 50):
+        words = [np.array([rng.randrange(2) for _ in range(rng.randint(0, 120))], np.uint64) for _ in range(9)]
+        doc, h, place = passages.hashed_runs(list(range(9)), [10 * i for i in range(9)], words, n)
+        alone = [passages.periodic_rank(common.windows_hash(w, n), passages.FLANK) for w in words]
+        assert list(zip(doc.tolist(), place.tolist())) == [(i, 10 * i + j) for i, x in enumerate(alone) for j in range(len(x))]
+        pairs = set(zip(h.tolist(), np.concatenate(alone).tolist()))
+        assert len(pairs) == len({x for x, _ in pairs}) == len({y for _, y in pairs})
+
+
 def test_common_words_match_the_table():
     rng = random.Random(9)
     for _ in range(300):
